@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from linesets.llm import line_dedup, shard_tree
+from linesets.llm import bpe, line_dedup, packing, shard_tree
 
 QUERIES = {
+    "op4_best_fit_packing": packing.query,
     "op6_shard_tree": shard_tree.query,
     "op7_line_dedup": line_dedup.query,
+    "op9_bpe": bpe.query,
 }
 
 ORACLE = {"op7_line_dedup": line_dedup.SQL}
