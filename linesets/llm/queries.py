@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from linesets.llm import bpe, line_dedup, packing, shard_tree
+from linesets.llm import bpe, licenses, line_dedup, packing, shard_tree
 
 QUERIES = {
     "op4_best_fit_packing": packing.query,
     "op6_shard_tree": shard_tree.query,
     "op7_line_dedup": line_dedup.query,
     "op9_bpe": bpe.query,
+    "op10_license_scan": licenses.query,
 }
 
 ORACLE = {"op7_line_dedup": line_dedup.SQL}
