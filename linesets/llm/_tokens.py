@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the tokenizers library, with a cache of pieces between blanks.
+"""Token ids of whole texts by the tokenizers library, a text at a time or a table of its pieces.
 
 Spaces and newlines never join a token, and no step of the tokenizer (NFC,
 lower-casing, splitting, merging, special tokens) looks across one, so a text's
@@ -8,13 +8,14 @@ ids are those of its pieces in turn.
 from __future__ import annotations
 
 import os
-import sys
-from array import array
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator
+
+import numpy as np
+
+from linesets.llm import _text
+from linesets.llm._wordtable import BETWEEN, WordTable
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED = 500_000  # about 110 MB a generation
-LONGEST_CACHED = 48
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -23,42 +24,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class PieceCache:
-    """Values of pieces, bounded: two generations, the older one dropped when the younger is full."""
-
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = CACHED):
-        self.compute, self.limit = compute, limit
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def values(self, pieces: Sequence[str]) -> list:
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        found = list(map(self.young.get, pieces))
-        if None not in found:
-            return found
-        missing = {p for p, v in zip(pieces, found, strict=True) if v is None}
-        own: dict = {}
-        new = []
-        for p in missing:
-            v = self.old.get(p)
-            if v is None:
-                new.append(p)
-            else:
-                own[p] = v
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            own.update(zip(part, self.compute(part), strict=True))
-        self.young.update((p, v) for p, v in own.items() if len(p) <= LONGEST_CACHED)
-        return [own[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
-
-
-_encoders: dict[str, PieceCache] = {}
-
-
-def encoder(path: str) -> PieceCache:
-    """Little-endian unsigned 32-bit ids of pieces; one a worker for each vocabulary."""
-    if path not in _encoders:
+_tables: dict[str, WordTable] = {}
+
+
+def ids_table(path: str) -> WordTable:
+    """Ids of pieces; one a worker for each vocabulary."""
+    if path not in _tables:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -66,20 +37,19 @@ def encoder(path: str) -> PieceCache:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
-        def compute(pieces: list[str]) -> list[bytes]:
-            ids = [array("I", e.ids) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            if sys.byteorder == "big":
-                for x in ids:
-                    x.byteswap()
-            return [x.tobytes() for x in ids]
-
-        _encoders[path] = PieceCache(compute)
-    return _encoders[path]
-
+        def compute(pieces: list[bytes]) -> list[tuple[np.ndarray]]:
+            coded = tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+            return [(np.array(e.ids, dtype=np.uint32),) for e in coded]
 
-def pieces_of(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
+        _tables[path] = WordTable(compute, (np.uint32,))
+    return _tables[path]
 
 
-def encode(text: str | None, path: str) -> bytes:
-    return b"".join(encoder(path).values(pieces_of(text))) if text else b""
+def encode_all(texts: list[bytes | None], path: str) -> Iterator[np.ndarray]:
+    """Unsigned 32-bit ids of each text; null is empty."""
+    known = ids_table(path)
+    for _, part in _text.slices(texts):
+        found = _text.words(part, BETWEEN, None)
+        ids, first = known.gather(0, known.rows(found), found.first)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            yield ids[a:b]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linesets.llm import _tokens
+from linesets.llm import _text, _tokens
 from linesets.llm._common import table, with_workers
 from linesets.llm._slots import with_slots
 
@@ -163,12 +163,12 @@ PIECES = T.StructType(
 
 def _cut(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        width = 4 * capacity
+        end, width = np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = _tokens.encode(text, path) + end
+            coded = _tokens.encode_all(_text.texts(batch.column(1)), path)
+            for doc_id, found in zip(batch.column(0).to_pylist(), coded, strict=True):
+                ids = found.astype("<u4", copy=False).tobytes() + end
                 for i, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))
