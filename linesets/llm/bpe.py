@@ -28,14 +28,17 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linesets.llm import _text
 from linesets.llm._common import table, with_workers
-from linesets.llm._tokens import PieceCache, pieces_of, vocabulary_path
+from linesets.llm._tokens import vocabulary_path
+from linesets.llm._wordtable import BETWEEN, WordTable
 
 NEVER = 1 << 60
 MARKED = 1 << 21  # added to a character's code where it ends a word
@@ -102,6 +105,27 @@ class SuffixAutomaton:
         return new
 
 
+class WordCache:
+    """Ids of words, bounded: two generations, the older one dropped when the younger is full."""
+
+    def __init__(self, compute: Callable[[str], tuple[int, ...]], limit: int = 150_000):
+        self.compute, self.limit = compute, limit
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def values(self, words: list[str]) -> list[tuple[int, ...]]:
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        out = []
+        for w in words:
+            ids = self.young.get(w)
+            if ids is None:
+                ids = self.old.get(w) or self.compute(w)
+                self.young[w] = ids
+            out.append(ids)
+        return out
+
+
 class Bpe:
     """Encoder over the vocabulary and merges of a tokenizers file."""
 
@@ -144,7 +168,7 @@ class Bpe:
         self.automaton = SuffixAutomaton(tokens)
         self.agree: dict[tuple[int, int], bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self.words = PieceCache(lambda words: list(map(self._word, words)))
+        self.words = WordCache(self._word)
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """(token, when it is merged away) down one side of a token's merges."""
@@ -224,19 +248,49 @@ class Bpe:
         return " ".join(self.strings[i] for i in ids)
 
 
-_loaded: dict[str, tuple[Bpe, PieceCache]] = {}
+    def encode_many(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece. Plain pieces are normalised and split together, with blanks between."""
+        out: list = [None] * len(pieces)
+        together = [i for i, p in enumerate(pieces) if p.isprintable() and " " not in p and not any(c in p for c in self.special)]
+        joined = " ".join([pieces[i] for i in together])
+        normal = self.normalize.normalize_str(joined) if self.normalize else joined
+        parts = normal.split(" ")
+        if together and self.split and len(parts) == len(together):
+            words = self.split.pre_tokenize_str(normal)
+            coded = self.words.values([w for w, _ in words])
+            at, end = 0, 0
+            for i, part in zip(together, parts, strict=True):
+                end += len(part) + 1
+                ids: list[int] = []
+                while at < len(words) and words[at][1][0] < end:
+                    ids += coded[at]
+                    at += 1
+                out[i] = ids
+        return [self.encode(p) if ids is None else ids for p, ids in zip(pieces, out, strict=True)]
+
+
+def _bytes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode(), np.uint8)
+
+
+_loaded: dict[str, tuple[Bpe, WordTable]] = {}
 
 
-def loaded(path: str) -> tuple[Bpe, PieceCache]:
-    """The encoder of a worker, and its cache of (ids, decoded) for pieces between blanks."""
+def loaded(path: str) -> tuple[Bpe, WordTable]:
+    """The encoder of a worker, and its table of (decimal ids, token strings, ids) of pieces, a blank after each."""
     if path not in _loaded:
         bpe = Bpe(path)
 
-        def compute(pieces: list[str]) -> list[tuple[str, str]]:
-            coded = map(bpe.encode, pieces)
-            return [(" ".join(map(str, ids)), bpe.decode(ids)) for ids in coded]
+        def compute(pieces: list[bytes]) -> list[tuple[np.ndarray, ...]]:
+            out = []
+            for at in range(0, len(pieces), 4096):
+                for ids in bpe.encode_many([p.decode() for p in pieces[at : at + 4096]]):
+                    tail = " " if ids else ""
+                    shown = " ".join(map(str, ids)) + tail, bpe.decode(ids) + tail
+                    out.append((*map(_bytes, shown), np.array(ids, dtype=np.int32)))
+            return out
 
-        _loaded[path] = bpe, PieceCache(compute, 200_000)
+        _loaded[path] = bpe, WordTable(compute, (np.uint8, np.uint8, np.int32))
     return _loaded[path]
 
 
@@ -245,16 +299,21 @@ SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 stri
 
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, cache = loaded(path)
+        _, known = loaded(path)
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for text in batch.column(1).to_pylist():
-                values = [v for v in cache.values(pieces_of(text)) if v[0]] if text else []
-                ids = " ".join([v[0] for v in values])
-                counts.append(ids.count(" ") + 1 if ids else 0)
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(" ".join([v[1] for v in values]).encode()).hexdigest())
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            counts: list[int] = []
+            shas: tuple[list[str], list[str]] = ([], [])
+            for _, part in _text.slices(_text.texts(batch.column(1))):
+                found = _text.words(part, BETWEEN, None)
+                rows = known.rows(found)
+                for kind in (0, 1):
+                    shown, first = known.gather(kind, rows, found.first)
+                    view = memoryview(shown)
+                    # all but the last blank
+                    shas[kind].extend(hashlib.sha256(view[a : max(a, b - 1)]).hexdigest() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+                sizes = np.concatenate([[0], np.cumsum(known.bounds[2][rows + 1] - known.bounds[2][rows])])[found.first]
+                counts += np.diff(sizes).tolist()
+            columns = [batch.column(0), pa.array(counts, pa.int64()), *(pa.array(x, pa.string()) for x in shas)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -262,10 +321,14 @@ def _digests(path: str):
 
 def _ids(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, _ = loaded(path)
+        _, known = loaded(path)
         for batch in batches:
-            found = [[i for p in pieces_of(t) if p for i in bpe.encode(p)] if t else [] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            out: list[np.ndarray] = []
+            for _, part in _text.slices(_text.texts(batch.column(1))):
+                found = _text.words(part, BETWEEN, None)
+                ids, first = known.gather(2, known.rows(found), found.first)
+                out += [ids[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run
 
