@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from linesets.llm import bpe, licenses, line_dedup, packing, shard_tree
+from linesets.llm import bpe, licenses, line_dedup, merkle, packing, shard_tree
 
 QUERIES = {
+    "op2_merkle_fingerprint": merkle.query,
     "op4_best_fit_packing": packing.query,
     "op6_shard_tree": shard_tree.query,
     "op7_line_dedup": line_dedup.query,
