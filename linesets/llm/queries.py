@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from linesets.llm import bpe, licenses, line_dedup, merkle, packing, shard_tree
+from linesets.llm import bpe, language_id, licenses, line_dedup, merkle, packing, shard_tree
 
 QUERIES = {
     "op2_merkle_fingerprint": merkle.query,
     "op4_best_fit_packing": packing.query,
+    "op5_language_id": language_id.query,
     "op6_shard_tree": shard_tree.query,
     "op7_line_dedup": line_dedup.query,
     "op9_bpe": bpe.query,
