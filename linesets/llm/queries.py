@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from linesets.llm import bpe, language_id, licenses, line_dedup, merkle, packing, shard_tree
+from linesets.llm import bpe, language_id, licenses, line_dedup, merkle, packing, shard_tree, va_search
 
 QUERIES = {
+    "op1_va_search": va_search.query,
     "op2_merkle_fingerprint": merkle.query,
     "op4_best_fit_packing": packing.query,
     "op5_language_id": language_id.query,
@@ -14,4 +15,7 @@ QUERIES = {
     "op10_license_scan": licenses.query,
 }
 
-ORACLE = {"op7_line_dedup": line_dedup.SQL}
+ORACLE = {
+    "op1_va_search": va_search.SQL,
+    "op7_line_dedup": line_dedup.SQL,
+}
