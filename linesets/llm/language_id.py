@@ -23,6 +23,7 @@ make no difference.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -76,6 +77,9 @@ def grams(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(_codes(raw))) if len(raw) > 1 else np.unique(raw.astype(np.int32))
 
 
+_columns: dict[bytes, np.ndarray] = {}
+
+
 @dataclass
 class Model:
     """columns: n-gram code to column, sorted codes; marks: landmarks by columns; weights: landmarks by labels."""
@@ -86,18 +90,15 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
 
-    def __post_init__(self):
-        self._column = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_column": None}
-
     def column(self) -> np.ndarray:
-        if self._column is None:
+        key = hashlib.sha256(self.codes.tobytes()).digest()
+        if key not in _columns:
+            _columns.clear()  # a worker serves one model at a time
             # the last column takes the n-grams that no landmark has
-            self._column = np.full(CODES, len(self.codes), dtype=np.uint16 if len(self.codes) < 65535 else np.int32)
-            self._column[self.codes] = np.arange(len(self.codes))
-        return self._column
+            found = np.full(CODES, len(self.codes), dtype=np.uint16 if len(self.codes) < 65535 else np.int32)
+            found[self.codes] = np.arange(len(self.codes))
+            _columns[key] = found
+        return _columns[key]
 
     def presence(self, part: list[bytes]) -> np.ndarray:
         """Texts by n-grams, 1 where a text has it."""
@@ -200,13 +201,13 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     """docs with lang_pred and score, from the text alone."""
     spark = docs.sparkSession
     with_workers(spark)
-    known = spark.sparkContext.broadcast(model)  # landmarks by their n-grams: a few MB, however large the corpus
+    # the model goes with the tasks: landmarks by their n-grams, a few MB however large the corpus
     schema = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, scores = predict(known.value, _text.texts(batch.column(at)))
+            labels, scores = predict(model, _text.texts(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
