@@ -182,13 +182,14 @@ def search(df: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY, id
     clean = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     asking = slim.filter((F.col("id") % every == 0) & clean).groupBy("id").agg(F.min("v").alias("v"))
     queries = materialize(asking.mapInArrow(_blocks(scale, QUERY_ROWS, False), BLOCKS), "va-queries")
+    salts = max(1, min(SALTS, stored.count()))
     asked = queries.select(
         F.col("block").alias("asked"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
     )
-    salted = stored.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
+    salted = stored.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
     # the stated query set against all rows, in blocks: each salt meets every query block
-    met = salted.join(asked, "salt").sortWithinPartitions("asked", "salt")
+    met = salted.hint("merge").join(asked.hint("merge"), "salt").sortWithinPartitions("asked", "salt")
     found = met.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
