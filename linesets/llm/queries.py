@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from linesets.llm import bpe, language_id, licenses, line_dedup, merkle, ngram_lm, packing, shard_tree, va_search
+from linesets.llm import bpe, language_id, licenses, line_dedup, merkle, ngram_join, ngram_lm, packing, shard_tree, va_search
 
 QUERIES = {
     "op1_va_search": va_search.query,
     "op2_merkle_fingerprint": merkle.query,
+    "op3_ngram_join": ngram_join.query,
     "op4_best_fit_packing": packing.query,
     "op5_language_id": language_id.query,
     "op6_shard_tree": shard_tree.query,
