@@ -13,10 +13,12 @@ link when 100 * |A and B| >= 75 * |A or B|, that is when the overlap is at least
   since long texts fill all groups alike. So trees are built over neighbourhoods
   that cannot lose a link: of a set in any one fixed order, two linked sets share
   one of the first |A| - ceil(0.75 |A|) + 1 tokens. The order puts rare tokens
-  first, by counts of all tokens in 2^18 cells, so passages that many documents
+  first, by counts of all tokens in 2^20 cells, so passages that many documents
   share come last. The least set that has a token in that part is the token's pivot,
   and a neighbourhood is a pivot with all sets that share such a token with it:
   sets that meet in a token meet in the neighbourhood of its pivot.
+* A neighbourhood first meets as points alone: one tree tells which sets may have
+  a partner at all, and only their tokens are fetched.
 * Inside a neighbourhood only pairs that are not connected yet are looked at, so a
   group of copies costs its size, not its square. A large neighbourhood is dealt
   to blocks, each with the pivot; sets that a block could not connect to
@@ -48,12 +50,15 @@ from linesets.llm._components import components
 
 SHINGLE = 5
 SHARE, WHOLE = 75, 100
-CELL_BITS = 18
+CELL_BITS = 20
+EARLY = np.uint32(1 << 31)  # marks the size of an early token's set
 HOT_CELL = 20_000_000
 BUCKET_TOKENS = 600_000
 MOST_BUCKETS = 4096
 FLUSH = 400_000
 BLOCK_TOKENS = 3_000_000
+#: Sets of a neighbourhood whose vectors one tree holds.
+TREE_ROWS = 20_000
 FAN = 16
 #: Sets that may be sent to every executor for the search of candidates' texts (8 bytes each).
 BROADCAST_IDS = 500_000
@@ -105,18 +110,16 @@ def cell_of(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def prefix(tokens: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """The first tokens of a set in the order of cell counts, then hashes."""
-    k = prefix_length(len(tokens))
-    counts = cells[cell_of(tokens)]
-    if k >= len(tokens):
-        return tokens
-    # tokens are sorted, so equal counts at the border go by hash
-    border = np.partition(counts, k - 1)[k - 1]
-    sure = counts < border
-    equal = np.flatnonzero(counts == border)[: k - int(sure.sum())]
-    sure[equal] = True
-    return tokens[sure]
+def prefix(tokens: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first tokens of a set in the order of cell counts, then hashes; which of them are early).
+
+    Of two linked sets the smaller one has their first common token among its
+    early ones, and so have both if they are equally large.
+    """
+    n = len(tokens)
+    rank = cells[cell_of(tokens)].astype(np.int64) * n + np.arange(n)  # tokens are sorted
+    order = np.argsort(rank)[: prefix_length(n)]
+    return tokens[order], np.arange(len(order)) <= n - needed(n, n)
 
 
 # first pass: set of each document, counts of cells -------------------------------------------
@@ -124,26 +127,28 @@ def prefix(tokens: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells = np.zeros(1 << CELL_BITS, np.int64)
-    names = ["doc_id", "high", "low", "n", "cells"]
+    names = ["doc_id", "high", "low", "n", "vector", "cells"]
     for batch in batches:
-        rows: list[tuple[int, int, int]] = []
+        rows: list[tuple[int, int, int, bytes]] = []
         for _, part in _text.slices(_text.texts(batch.column(1))):
             sets = shingle_sets(part)
-            rows += [(*signature(s), len(s)) for s in sets]
+            rows += [(*signature(s), len(s), count_vectors([s], groups_for(len(s)))[0].tobytes()) for s in sets]
             cells += np.bincount(cell_of(np.concatenate(sets)), minlength=1 << CELL_BITS)
-        high, low, n = zip(*rows, strict=True) if rows else ((), (), ())
-        columns = [batch.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(rows), pa.binary())]
+        high, low, n, vector = zip(*rows, strict=True) if rows else ((), (), (), ())
+        found = [pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(n, pa.int64()), pa.array(vector, pa.binary())]
+        columns = [batch.column(0), *found, pa.nulls(len(rows), pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=names)
     empty = [pa.nulls(1, pa.int64())] * 4
-    yield pa.RecordBatch.from_arrays([*empty, pa.array([cells.astype(np.uint32).tobytes()], pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([*empty, pa.nulls(1, pa.binary()), pa.array([cells.astype(np.uint32).tobytes()], pa.binary())], names=names)
 
 
 def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << CELL_BITS, np.int64)
     for batch in batches:
         for blob in batch.column(0):
-            total += np.frombuffer(blob.as_py(), np.uint32 if len(blob.as_py()) == 4 << CELL_BITS else np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["cells"])
+            total += np.frombuffer(blob.as_buffer(), np.uint32)
+    top = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)  # an order is all they give
+    yield pa.RecordBatch.from_arrays([pa.array([top.tobytes()], pa.binary())], names=["cells"])
 
 
 # second pass: tokens of each prefix, to the least set that has them ---------------------------
@@ -152,12 +157,12 @@ def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefix_rows(cells: np.ndarray, n: int):
     """(bucket, token, high, low, n) rows of packed arrays. Tokens of hot cells go to buckets from n on, at random."""
 
-    def flush(held: list[tuple[np.ndarray, tuple[int, int], int]], part: int) -> pa.RecordBatch:
+    def flush(held: list[tuple], part: int) -> pa.RecordBatch:
         tokens = np.concatenate([h[0] for h in held])
         sizes = [len(h[0]) for h in held]
         highs = np.repeat(np.array([h[1][0] for h in held], np.int64), sizes)
         lows = np.repeat(np.array([h[1][1] for h in held], np.uint32), sizes)
-        counts = np.repeat(np.array([h[2] for h in held], np.uint32), sizes)
+        counts = np.concatenate([np.where(h[3], EARLY, np.uint32(0)) | np.uint32(h[2]) for h in held])
         bucket = (_text.mix(tokens) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
         bucket = np.where(cells[cell_of(tokens)] > HOT_CELL, n + part % n, bucket.astype(np.int64))
         order = np.argsort(bucket, kind="stable")
@@ -180,7 +185,8 @@ def _prefix_rows(cells: np.ndarray, n: int):
                     if own in seen:  # an equal set of this flush
                         continue
                     seen.add(own)
-                    held.append((prefix(s, cells), own, len(s)))
+                    first, early = prefix(s, cells)
+                    held.append((first, own, len(s), early))
                     size += len(held[-1][0])
                     if size >= FLUSH:
                         yield flush(held, task)
@@ -203,14 +209,26 @@ def _pivots(n: int):
         arrays = [pa.nulls(m, pa.int64()) if x is None else pa.array(x.astype(np.int64)) for x in (token, high, low, p_high, p_low)]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
+    def heads_of(tokens: np.ndarray, size: np.ndarray) -> np.ndarray:
+        # no set is linked with one over a third larger, so a gap in the sizes parts a token's sets
+        apart = (tokens[1:] != tokens[:-1]) | (SHARE * size[1:] > WHOLE * size[:-1])
+        return np.flatnonzero(np.concatenate([[True], apart]))
+
     def shared(tokens, high, low, size) -> pa.RecordBatch:
+        early, size = size >= EARLY, (size & ~EARLY).astype(np.int64)
         order = np.lexsort((low, high, size, tokens))
-        tokens, high, low = tokens[order], high[order], low[order]
-        new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+        tokens, high, low, size, early = tokens[order], high[order], low[order], size[order], early[order]
         # an equal set that came from another task is the same member
-        again = np.concatenate([[False], (~new[1:]) & (high[1:] == high[:-1]) & (low[1:] == low[:-1])])
-        tokens, high, low = tokens[~again], high[~again], low[~again]
-        heads = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        again = np.concatenate([[False], (tokens[1:] == tokens[:-1]) & (high[1:] == high[:-1]) & (low[1:] == low[:-1])])
+        tokens, high, low, size, early = tokens[~again], high[~again], low[~again], size[~again], early[~again]
+        # a set that isn't early can only be the larger one
+        heads = heads_of(tokens, size)
+        least = np.minimum.reduceat(np.where(early, size, np.iinfo(np.int64).max), heads)
+        use = early | (size > np.repeat(least, np.diff(np.concatenate([heads, [len(tokens)]]))))
+        tokens, high, low, size = tokens[use], high[use], low[use], size[use]
+        if not len(tokens):
+            return batch_of(None, *[np.empty(0, np.int64)] * 4)
+        heads = heads_of(tokens, size)
         members = np.diff(np.concatenate([heads, [len(tokens)]]))
         first = np.repeat(heads, members)
         many = np.repeat(members > 1, members)
@@ -268,16 +286,34 @@ class RTree:
         return rows[bound >= needed(size, self.sizes[rows])]
 
 
-def groups_for(sizes: np.ndarray) -> int:
-    """Groups that leave long sets a few tokens each."""
-    longest = int(np.median(sizes)) if len(sizes) else 1
-    return int(min(1024, max(16, 1 << (max(longest // 4, 1)).bit_length())))
+def groups_for(size: int) -> int:
+    """Groups, a power of two, that leave a set of this size a few tokens each."""
+    return min(1 << 14, max(16, 1 << max(size // 4, 1).bit_length()))
 
 
 def count_vectors(sets: list[np.ndarray], groups: int) -> np.ndarray:
+    """Tokens of each set in each group; a group of half as many groups holds those of two."""
     sizes = [len(s) for s in sets]
-    where = np.repeat(np.arange(len(sets)), sizes) * groups + (np.concatenate(sets) % np.uint64(groups)).astype(np.int64)
-    return np.bincount(where, minlength=len(sets) * groups).reshape(len(sets), groups).astype(np.uint32)
+    where = np.repeat(np.arange(len(sets)), sizes) * groups + (np.concatenate(sets) & np.uint64(groups - 1)).astype(np.int64)
+    return np.bincount(where, minlength=len(sets) * groups).reshape(len(sets), groups).astype(np.uint16)
+
+
+def folded(vector: np.ndarray, groups: int) -> np.ndarray:
+    return vector.reshape(-1, groups).sum(axis=0, dtype=np.uint32) if len(vector) > groups else vector.astype(np.uint32)
+
+
+def paired(vectors: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Which sets have a partner that the bound lets through."""
+    groups = min(map(len, vectors))
+    points = np.stack([folded(v, groups) for v in vectors])
+    tree = RTree(points, sizes)
+    known = np.zeros(len(vectors), bool)
+    for i in range(len(vectors)):
+        if not known[i]:
+            near = tree.near(points[i], int(sizes[i]))
+            if len(near) > 1:  # itself and another
+                known[near] = True
+    return known
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -295,7 +331,7 @@ def connect(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> l
     """
     base = sets if others is None else others
     sizes = np.array([len(s) for s in base])
-    groups = groups_for(sizes)
+    groups = groups_for(int(sizes.min()))
     points = count_vectors(base, groups)
     tree = RTree(points, sizes)
     label = np.arange(len(base))
@@ -326,6 +362,29 @@ def connect(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> l
     return edges
 
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (pivot, id, n, vector) sorted by pivot -> (pivot, id, n) of sets that may have a partner, and their pivots."""
+
+    def kept() -> pa.RecordBatch:
+        use = paired([np.frombuffer(v, np.uint16) for _, _, v in held], np.array([n for _, n, _ in held]))
+        if use.any():
+            use |= np.array([i == key for i, _, _ in held])
+        rows = [held[i] for i in np.flatnonzero(use)]
+        columns = [[key] * len(rows), [r[0] for r in rows], [r[1] for r in rows]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["pivot", "id", "n"])
+
+    key, held = None, []
+    for batch in batches:
+        for pivot, *row in zip(*(batch.column(n).to_pylist() for n in ("pivot", "id", "n", "vector")), strict=True):
+            if pivot != key:
+                if len(held) > 1:
+                    yield kept()
+                key, held = pivot, []
+            held.append(row)
+    if len(held) > 1:
+        yield kept()
+
+
 def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (pivot, block, id, tokens) sorted by pivot, block -> edges (a, b), and members apart from the pivot (loose)."""
 
@@ -402,19 +461,20 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, high, low, n) of every document, counts of cells)."""
-    first = materialize(docs.select("doc_id", "text").mapInArrow(_describe, "doc_id bigint, high bigint, low bigint, n bigint, cells binary"), "shingle-sets")
-    # 2^18 counts a task, added up by a few tasks: a bounded array, however many documents
+    """((doc_id, high, low, n, vector) of every document, counts of cells)."""
+    first = materialize(docs.select("doc_id", "text").mapInArrow(_describe, "doc_id bigint, high bigint, low bigint, n bigint, vector binary, cells binary"), "shingle-sets")
+    # 2^20 counts a task, added up by a few tasks: a bounded array, however many documents
     blobs = first.filter("cells is not null").select("cells")
     cells = np.zeros(1 << CELL_BITS, np.int64)
-    for r in blobs.coalesce(8).mapInArrow(_add_cells, "cells binary").collect():
-        cells += np.frombuffer(bytes(r["cells"]), np.int64)
+    for r in blobs.coalesce(2).mapInArrow(_add_cells, "cells binary").collect():
+        cells += np.frombuffer(r["cells"], np.uint32)
     return first.filter("cells is null").drop("cells"), cells
 
 
 def memberships(docs: DataFrame, described: DataFrame, cells: np.ndarray) -> DataFrame:
     """(high, low, p_high, p_low), distinct: sets with the pivots whose neighbourhoods they belong to."""
     n = max(8, min(MOST_BUCKETS, -(-int(cells.sum()) // 4 // BUCKET_TOKENS)))
+    cells = np.minimum(cells, 0xFFFFFFFF).astype(np.uint32)  # an order is all they give
     rows = docs.select("text").mapInArrow(_prefix_rows(cells, n), "bucket int, token binary, high binary, low binary, n binary")
     dealt = rows.repartition(2 * n if (cells > HOT_CELL).any() else n, "bucket").sortWithinPartitions("bucket")
     found = materialize(dealt.mapInArrow(_pivots(n), "token bigint, high bigint, low bigint, p_high bigint, p_low bigint"), "pivots")
@@ -426,13 +486,27 @@ def memberships(docs: DataFrame, described: DataFrame, cells: np.ndarray) -> Dat
     return members.distinct()
 
 
+def _pruned(pairs: DataFrame, described: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members that may have a partner by the bound on count vectors; a neighbourhood of very many keeps all."""
+    counted = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
+    sized = pairs.join(counted.filter("m > 1"), "pivot")
+    vectors = described.select(F.col("doc_id").alias("id"), "high", "low", "vector").join(sets.select("id", "high", "low"), ["id", "high", "low"])
+    vectors = vectors.groupBy("id").agg(F.min("vector").alias("vector"))
+    few = sized.filter(F.col("m") <= TREE_ROWS).select("pivot", "id", "n").join(vectors, "id").select("pivot", "id", "n", "vector")
+    dealt = few.repartition("pivot").sortWithinPartitions("pivot")
+    kept = dealt.mapInArrow(_bounded, "pivot bigint, id bigint, n bigint")
+    many = sized.filter(F.col("m") > TREE_ROWS).select("pivot", "id", "n")
+    return materialize(kept.unionByName(many), "near-members")
+
+
 def links(docs: DataFrame, described: DataFrame, cells: np.ndarray) -> DataFrame:
     """(a, b): links between representatives that connect all that is linked."""
     sets = described.filter("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
+    sets = materialize(sets.filter("id is not null"), "sets")
     members = memberships(docs, described, cells)
     named = members.join(sets, ["high", "low"]).select("id", "n", F.col("p_high").alias("high"), F.col("p_low").alias("low"))
     pairs = named.join(sets.select("high", "low", F.col("id").alias("pivot")), ["high", "low"]).select("pivot", "id", "n")
-    pairs = materialize(pairs.filter("id is not null and pivot is not null"), "members")
+    pairs = _pruned(materialize(pairs, "members"), described, sets)
     # blocks of a neighbourhood hold a bounded number of tokens; the pivot is in each of them
     weight = pairs.groupBy("pivot").agg(F.sum("n").alias("weight"))
     parts = weight.select("pivot", F.ceil(F.col("weight") / BLOCK_TOKENS).cast("int").alias("blocks"))
