@@ -21,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     than its label stays, with the language it is in.
     """
     model = language_id.learn(docs)
-    found = language_id.identify(docs, model).filter(F.col("_lang") != language_id.UNDETERMINED)
-    return found.withColumn("lang", F.col("_lang")).select(*docs.columns)
+    found = language_id.identify(docs, model).filter(F.col(language_id.LANG) != language_id.UNDETERMINED)
+    return found.withColumn("lang", F.col(language_id.LANG)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     A document of which nothing but blanks is left goes; n_chars follows the text.
     """
     found = line_dedup.dedup_lines(docs)
-    gone = (F.col("_n_cut") > 0) & ~F.col("text").rlike(r"\S")
+    gone = (F.col(line_dedup.N_CUT) > 0) & ~F.col("text").rlike(r"\S")
     kept = found.filter(F.coalesce(~gone, F.lit(True)))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("_n_cut") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        kept = kept.withColumn("n_chars", F.when(F.col(line_dedup.N_CUT) > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)
 
 

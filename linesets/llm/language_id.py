@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linesets.llm import _text
-from linesets.llm._common import table, with_workers
+from linesets.llm._common import table, tidy, with_workers
 
 UNDETERMINED = "und"
 PER_LABEL = 150
@@ -197,12 +197,16 @@ def sample(docs: DataFrame, text: str, label: str, id_col: str, per_label: int =
     return [(r["text"].encode(), r["label"]) for r in rows]
 
 
+#: Columns that identify adds; columns of these names in the input are replaced.
+LANG, SCORE = "language_id_lang", "language_id_score"
+
+
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score, from the text alone."""
-    spark = docs.sparkSession
-    with_workers(spark)
+    """docs with the predicted language and its score, from the text alone."""
+    with_workers(docs.sparkSession)
+    docs = docs.drop(LANG, SCORE)
     # the model goes with the tasks: landmarks by their n-grams, a few MB however large the corpus
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(LANG, T.StringType()), T.StructField(SCORE, T.DoubleType())])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +214,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             labels, scores = predict(model, _text.texts(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def remainder(id_col: str, parts: int):
@@ -227,4 +231,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     model = learn(docs)
     slim = docs.select("doc_id", (F.coalesce(remainder("doc_id", 4), F.lit(0)) == 2).alias("held_out"), "text")
     found = identify(slim, model)
-    return found.select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    return found.select("doc_id", "held_out", F.col(LANG).alias("lang_pred"), F.col(SCORE).alias("score"))

@@ -18,7 +18,7 @@ The result is the union of all such matches. An extension of window - 1 lines
 on each side is all that is needed: a longer agreement holds whole windows that
 are units with an earlier position themselves.
 
-Lines are compared by two independent 64-bit hashes. Rows: a null or empty text
+Units are compared by two independent 64-bit hashes, lines beside a match by one. Rows: a null or empty text
 has no lines and stays as it is; rows equal in doc_id and text are one document
 and get the same result; a null doc_id comes first in the order. Other columns
 pass through, whatever their names.
@@ -65,14 +65,14 @@ def _units(hashed: DataFrame, window: int) -> DataFrame:
         best = F.array_min(F.transform(part, lambda h, i: F.struct(h.alias("h"), (-i).alias("back"))))
         offset = -best["back"]
         return F.struct(
-            best["h"].alias("fingerprint"), offset.alias("offset"),
+            best["h"]["a"].alias("fingerprint"), offset.alias("offset"),
             F.struct(F.xxhash64(part).alias("a"), F.xxhash64(F.lit(SECOND_SEED), part).alias("b")).alias("content"),
             start.alias("start"), F.lit(window).alias("length"),
         )
 
     def long_unit(pos: Column) -> Column:
         h = at(pos)["h"]
-        return F.struct(h.alias("fingerprint"), F.lit(0).alias("offset"), h.alias("content"), pos.alias("start"), F.lit(1).alias("length"))
+        return F.struct(h["a"].alias("fingerprint"), F.lit(0).alias("offset"), h.alias("content"), pos.alias("start"), F.lit(1).alias("length"))
 
     none = F.array().cast("array<int>")
     starts = F.when(n >= window, F.sequence(F.lit(0), n - window)).otherwise(none)
@@ -85,8 +85,8 @@ def _units(hashed: DataFrame, window: int) -> DataFrame:
     return exploded.select(
         "_id", "_hash", "u.fingerprint", "u.offset", "u.content", "u.length", "u.start",
         # nearest first on both sides
-        F.reverse(F.transform(F.slice(lines, first + 1, F.col("u.start") - first), lambda x: x["h"])).alias("before"),
-        F.transform(F.slice(lines, last + 1, side), lambda x: x["h"]).alias("after"),
+        F.reverse(F.transform(F.slice(lines, first + 1, F.col("u.start") - first), lambda x: x["h"]["a"])).alias("before"),
+        F.transform(F.slice(lines, last + 1, side), lambda x: x["h"]["a"]).alias("after"),
     )
 
 
@@ -116,23 +116,28 @@ def repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", w
     return cut.groupBy("_id", "_hash").agg(F.sort_array(F.collect_set("_pos")).alias("_cut"))
 
 
+#: Columns that dedup_lines adds; columns of these names in the input are replaced.
+N_LINES, N_CUT = "line_dedup_lines", "line_dedup_cut"
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
-    """docs with later repeated runs cut from the text, and columns _n_lines and _n_cut."""
+    """docs with later repeated runs cut from the text, and how many lines it had and lost."""
     cuts = repeated_runs(docs, text, id_col, window, long_words)
-    own = docs.withColumns({"_own_id": F.col(id_col), "_own_hash": F.xxhash64(text)})
-    joined = own.join(cuts, own["_own_id"].eqNullSafe(cuts["_id"]) & (own["_own_hash"] == cuts["_hash"]), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("_cut"), i))
-    has = F.octet_length(text) > 0
-    rest = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumns(
-        {
-            "_n_lines": F.when(has, F.size(lines)).otherwise(0).cast("bigint"),
-            "_n_cut": F.coalesce(F.size("_cut"), F.lit(0)).cast("bigint"),
-            "_rest": rest,
-        }
-    )
-    return out.select(*[F.col("_rest").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns], "_n_lines", "_n_cut")
+    rest = [c for c in docs.columns if c not in (text, N_LINES, N_CUT)]
+    # the row travels as one column, so that no name of the input can clash
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    own = docs.select(whole.alias("row"), F.col(text).alias("body"), F.col(id_col).alias("own_id"), F.xxhash64(text).alias("own_hash"))
+    joined = own.join(cuts, own["own_id"].eqNullSafe(cuts["_id"]) & (own["own_hash"] == cuts["_hash"]), "left")
+    lines = F.split("body", "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_cut"), i)), "\n")
+    added = {
+        text: F.when(F.col("_cut").isNull(), F.col("body")).otherwise(kept),
+        N_LINES: F.when(F.octet_length("body") > 0, F.size(lines)).otherwise(0).cast("bigint"),
+        N_CUT: F.coalesce(F.size("_cut"), F.lit(0)).cast("bigint"),
+    }
+    place = {c: F.col(f"row.c{i}") for i, c in enumerate(rest)} | added
+    order = [c for c in docs.columns if c not in (N_LINES, N_CUT)] + [N_LINES, N_CUT]
+    return joined.select(*[place[c].alias(c) for c in order])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -140,7 +145,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_lines(docs)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_cut").alias("n_cut"), F.col("text").alias("kept_text"))
+    return out.select("doc_id", F.col(N_LINES).alias("n_lines"), F.col(N_CUT).alias("n_cut"), F.col("text").alias("kept_text"))
 
 
 SQL = rf"""
