@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -16,14 +17,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes that go to a Python worker at once: texts are copied a few times there.
+BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+
+
 def with_workers(spark: SparkSession) -> None:
-    """Python workers started from now on find this package where its folder is visible to them."""
+    """Python workers started from now on find this package where its folder is visible to them.
+
+    Arrow batches of the session get no larger than the bounds above.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.rstrip("b").isdigit() or int(now.rstrip("b")) > most or int(now.rstrip("b")) <= 0:
+            spark.conf.set(key, most)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
 
 
+def _give_back() -> None:
+    """Returns freed memory of this process to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """run over Arrow batches; a worker that waits for its next task holds only what it still uses."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return tidied
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; one of its own in local mode where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linesets.llm._common import materialize, with_workers
+from linesets.llm._common import materialize, tidy, with_workers
 
 
 def _count_rows(group: str):
@@ -43,7 +43,7 @@ def with_slots(df: DataFrame, group: str, name: str) -> DataFrame:
     with_workers(df.sparkSession)
     tagged = df.withColumn("_part", F.spark_partition_id())
     schema = T.StructType([*tagged.schema.fields, T.StructField("_local", T.LongType())])
-    rows = materialize(tagged.mapInArrow(_count_rows(group), schema), "slots")
+    rows = materialize(tagged.mapInArrow(tidy(_count_rows(group)), schema), "slots")
     sizes = rows.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

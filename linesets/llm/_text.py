@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; one longer text is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 BLANKS = b" \t\n\x0b\x0c\r"
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -38,8 +38,11 @@ def ids_table(path: str) -> WordTable:
         tokenizer.no_padding()
 
         def compute(pieces: list[bytes]) -> list[tuple[np.ndarray]]:
-            coded = tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-            return [(np.array(e.ids, dtype=np.uint32),) for e in coded]
+            out: list[tuple[np.ndarray]] = []
+            for at in range(0, len(pieces), 2048):  # the library's results are large
+                coded = tokenizer.encode_batch_fast([p.decode() for p in pieces[at : at + 2048]], add_special_tokens=False)
+                out += [(np.array(e.ids, dtype=np.uint32),) for e in coded]
+            return out
 
         _tables[path] = WordTable(compute, (np.uint32,))
     return _tables[path]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linesets.llm import _text
-from linesets.llm._common import table, with_workers
+from linesets.llm._common import table, tidy, with_workers
 from linesets.llm._tokens import vocabulary_path
 from linesets.llm._wordtable import BETWEEN, WordTable
 
@@ -337,14 +337,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
     """(doc_id, ids) of every document."""
     with_workers(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(_ids(path or vocabulary_path()), "doc_id bigint, ids array<int>")
+    return slim.mapInArrow(tidy(_ids(path or vocabulary_path())), "doc_id bigint, ids array<int>")
 
 
 def digest_documents(docs: DataFrame, path: str | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Counts and digests of ids and of the decoded text of every document."""
     with_workers(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(_digests(path or vocabulary_path()), SCHEMA)
+    return slim.mapInArrow(tidy(_digests(path or vocabulary_path())), SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

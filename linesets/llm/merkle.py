@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linesets.llm._common import table, with_workers
+from linesets.llm._common import table, tidy, with_workers
 
 PIECE_WORDS = 8
 SECTION = 4
@@ -263,7 +263,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["doc_id", "fingerprint"])
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "doc_id bigint, fingerprint string")
+    return slim.mapInArrow(tidy(run), "doc_id bigint, fingerprint string")
 
 
 def compare_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id", range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -272,7 +272,7 @@ def compare_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ra
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, min(MOST_RANGES, -(-size // range_bytes)))
     rows = with_next(slim, n).repartitionByRange(n, "span")
-    return rows.sortWithinPartitions("span", "guest", F.desc_nulls_last("doc_id"), "text").mapInArrow(_walk, SCHEMA)
+    return rows.sortWithinPartitions("span", "guest", F.desc_nulls_last("doc_id"), "text").mapInArrow(tidy(_walk), SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linesets.llm import _text
-from linesets.llm._common import materialize, table, with_workers
+from linesets.llm._common import materialize, table, tidy, with_workers
 from linesets.llm._components import components
 
 SHINGLE = 5
@@ -462,11 +462,11 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """((doc_id, high, low, n, vector) of every document, counts of cells)."""
-    first = materialize(docs.select("doc_id", "text").mapInArrow(_describe, "doc_id bigint, high bigint, low bigint, n bigint, vector binary, cells binary"), "shingle-sets")
+    first = materialize(docs.select("doc_id", "text").mapInArrow(tidy(_describe), "doc_id bigint, high bigint, low bigint, n bigint, vector binary, cells binary"), "shingle-sets")
     # 2^20 counts a task, added up by a few tasks: a bounded array, however many documents
     blobs = first.filter("cells is not null").select("cells")
     cells = np.zeros(1 << CELL_BITS, np.int64)
-    for r in blobs.coalesce(2).mapInArrow(_add_cells, "cells binary").collect():
+    for r in blobs.coalesce(2).mapInArrow(tidy(_add_cells), "cells binary").collect():
         cells += np.frombuffer(r["cells"], np.uint32)
     return first.filter("cells is null").drop("cells"), cells
 
@@ -475,9 +475,9 @@ def memberships(docs: DataFrame, described: DataFrame, cells: np.ndarray) -> Dat
     """(high, low, p_high, p_low), distinct: sets with the pivots whose neighbourhoods they belong to."""
     n = max(8, min(MOST_BUCKETS, -(-int(cells.sum()) // 4 // BUCKET_TOKENS)))
     cells = np.minimum(cells, 0xFFFFFFFF).astype(np.uint32)  # an order is all they give
-    rows = docs.select("text").mapInArrow(_prefix_rows(cells, n), "bucket int, token binary, high binary, low binary, n binary")
+    rows = docs.select("text").mapInArrow(tidy(_prefix_rows(cells, n)), "bucket int, token binary, high binary, low binary, n binary")
     dealt = rows.repartition(2 * n if (cells > HOT_CELL).any() else n, "bucket").sortWithinPartitions("bucket")
-    found = materialize(dealt.mapInArrow(_pivots(n), "token bigint, high bigint, low bigint, p_high bigint, p_low bigint"), "pivots")
+    found = materialize(dealt.mapInArrow(tidy(_pivots(n)), "token bigint, high bigint, low bigint, p_high bigint, p_low bigint"), "pivots")
     members = found.filter("token is null").drop("token")
     if (cells > HOT_CELL).any():
         hot = found.filter("token is not null").select("token", "high", "low").distinct()
@@ -494,7 +494,7 @@ def _pruned(pairs: DataFrame, described: DataFrame, sets: DataFrame) -> DataFram
     vectors = vectors.groupBy("id").agg(F.min("vector").alias("vector"))
     few = sized.filter(F.col("m") <= TREE_ROWS).select("pivot", "id", "n").join(vectors, "id").select("pivot", "id", "n", "vector")
     dealt = few.repartition("pivot").sortWithinPartitions("pivot")
-    kept = dealt.mapInArrow(_bounded, "pivot bigint, id bigint, n bigint")
+    kept = dealt.mapInArrow(tidy(_bounded), "pivot bigint, id bigint, n bigint")
     many = sized.filter(F.col("m") > TREE_ROWS).select("pivot", "id", "n")
     return materialize(kept.unionByName(many), "near-members")
 
@@ -517,11 +517,11 @@ def links(docs: DataFrame, described: DataFrame, cells: np.ndarray) -> DataFrame
     small = ids.count() <= BROADCAST_IDS
     wanted = docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
     # rows that repeat an id: the set of the smallest text stands for it
-    tokens = wanted.mapInArrow(_sets_of, "id bigint, tokens binary")
+    tokens = wanted.mapInArrow(tidy(_sets_of), "id bigint, tokens binary")
     tokens = materialize(tokens.groupBy("id").agg(F.min("tokens").alias("tokens")), "candidate-sets")
     full = placed.join(tokens, "id").select("pivot", "block", "blocks", "id", "tokens")
     solved = full.repartition("pivot", "block").sortWithinPartitions("pivot", "block")
-    found = materialize(solved.select("pivot", "block", "id", "tokens").mapInArrow(_neighbourhoods, "pivot bigint, block int, a bigint, b bigint"), "links")
+    found = materialize(solved.select("pivot", "block", "id", "tokens").mapInArrow(tidy(_neighbourhoods), "pivot bigint, block int, a bigint, b bigint"), "links")
     edges = found.filter("b is not null").select("a", "b")
     large = parts.filter("blocks > 1")
     if large.limit(1).count():
@@ -530,7 +530,7 @@ def links(docs: DataFrame, described: DataFrame, cells: np.ndarray) -> DataFrame
         there = full.filter("blocks > 1").select("pivot", "block", F.lit(False).alias("visits"), "id", "tokens")
         both = there.unionByName(visit.select("pivot", "block", F.lit(True).alias("visits"), "id", "tokens"))
         met = both.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "visits")
-        edges = edges.unionByName(met.mapInArrow(_across, "a bigint, b bigint"))
+        edges = edges.unionByName(met.mapInArrow(tidy(_across), "a bigint, b bigint"))
     return edges
 
 

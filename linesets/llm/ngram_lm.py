@@ -39,9 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linesets.llm import _text
-from linesets.llm._common import materialize, shared_dir, table, with_workers
+from linesets.llm._common import materialize, shared_dir, table, tidy, with_workers
 
-FLUSH = 2_000_000
+FLUSH = 1_200_000
 HOT = 5_000_000
 BUCKET_TOKENS = 1_500_000
 MOST_BUCKETS = 4096
@@ -420,20 +420,20 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     folder = f"{shared_dir(spark)}/linesets/lm-{uuid.uuid4().hex}"
     size = slim.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     n = max(8, min(MOST_BUCKETS, -(-size // 6 // BUCKET_TOKENS)))  # a word and its blank take about 6 bytes
-    words = slim.mapInArrow(_count_words(n), "kind string, bucket int, word binary, count binary")
-    written = materialize(_dealt(words, n).mapInArrow(_write_words(folder), "bucket int, n bigint, total bigint, hot binary"), "lm-words")
+    words = slim.mapInArrow(tidy(_count_words(n)), "kind string, bucket int, word binary, count binary")
+    written = materialize(_dealt(words, n).mapInArrow(tidy(_write_words(folder)), "bucket int, n bigint, total bigint, hot binary"), "lm-words")
     facts = written.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     # at most one in HOT tokens
     hot = np.sort(np.frombuffer(b"".join(bytes(r["hot"]) for r in written.filter(F.octet_length("hot") > 0).select("hot").collect()), np.uint64))
-    pairs = slim.mapInArrow(_count_bigrams(n, hot), "kind string, bucket int, context binary, run binary, word binary, count binary")
-    stats = materialize(_dealt(pairs, n).mapInArrow(_write_bigrams(folder, n), STATS), "lm-bigrams")
+    pairs = slim.mapInArrow(tidy(_count_bigrams(n, hot)), "kind string, bucket int, context binary, run binary, word binary, count binary")
+    stats = materialize(_dealt(pairs, n).mapInArrow(tidy(_write_bigrams(folder, n)), STATS), "lm-bigrams")
     high = np.zeros(4, np.int64)
     for r in stats.filter("kind = 'counts'").select("hash").collect():  # one row a bucket
         high += np.frombuffer(bytes(r["hash"]), np.int64)[:4]
     out = "bucket bigint, total bigint, c1 bigint, c2 bigint, c3 bigint, c4 bigint, more bigint"
     sums = [F.sum(c).alias(c) for c in ("total", "c1", "c2", "c3", "c4", "more")]
-    _dealt(stats.filter("kind = 'context'"), n).mapInArrow(_write_stats(folder, "context"), out).agg(*sums).collect()
-    low = _dealt(stats.filter("kind = 'word'"), n).mapInArrow(_write_stats(folder, "word-after"), out).agg(*sums).first()
+    _dealt(stats.filter("kind = 'context'"), n).mapInArrow(tidy(_write_stats(folder, "context")), out).agg(*sums).collect()
+    low = _dealt(stats.filter("kind = 'word'"), n).mapInArrow(tidy(_write_stats(folder, "word-after")), out).agg(*sums).first()
     low_d = discounts([low[c] or 0 for c in ("c1", "c2", "c3", "c4")])
     total = low["total"] or 0
     left = (low_d[1] * (low["c1"] or 0) + low_d[2] * (low["c2"] or 0) + low_d[3] * (low["more"] or 0)) / total if total else 1.0
@@ -491,7 +491,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS, F.lit(0)) == HELD_OUT
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"))
     model = fit(slim.filter(~F.col("held_out")))
-    return slim.mapInArrow(_scores(model), SCHEMA)
+    return slim.mapInArrow(tidy(_scores(model)), SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

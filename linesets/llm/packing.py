@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linesets.llm import _text, _tokens
-from linesets.llm._common import table, with_workers
+from linesets.llm._common import table, tidy, with_workers
 from linesets.llm._slots import with_slots
 
 CAPACITY = 4096
@@ -183,7 +183,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "te
     """(doc_id, piece, start, length, ids_crc32) of every document."""
     with_workers(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(_cut(path, capacity), PIECES)
+    return slim.mapInArrow(tidy(_cut(path, capacity)), PIECES)
 
 
 def _placed(how: Plan):
@@ -203,7 +203,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # one row for each length: at most `capacity`
     counts = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*cut.columns, "_rank").mapInArrow(_placed(plan(counts, capacity)), schema)
+    return ranked.select(*cut.columns, "_rank").mapInArrow(tidy(_placed(plan(counts, capacity))), schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linesets.llm._common import materialize, table, with_workers
+from linesets.llm._common import materialize, table, tidy, with_workers
 
 K = 5
 SCALE = 256
@@ -178,10 +178,10 @@ def search(df: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY, id
     """(query_id, rank, vec_id, score): the k best others of each row whose id is divisible by `every`."""
     with_workers(df.sparkSession)
     slim = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    stored = materialize(slim.mapInArrow(_blocks(scale, BLOCK_ROWS, True), BLOCKS), "va-blocks")
+    stored = materialize(slim.mapInArrow(tidy(_blocks(scale, BLOCK_ROWS, True)), BLOCKS), "va-blocks")
     clean = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     asking = slim.filter((F.col("id") % every == 0) & clean).groupBy("id").agg(F.min("v").alias("v"))
-    queries = materialize(asking.mapInArrow(_blocks(scale, QUERY_ROWS, False), BLOCKS), "va-queries")
+    queries = materialize(asking.mapInArrow(tidy(_blocks(scale, QUERY_ROWS, False)), BLOCKS), "va-queries")
     salts = max(1, min(SALTS, stored.count()))
     asked = queries.select(
         F.col("block").alias("asked"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"),
@@ -190,7 +190,7 @@ def search(df: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY, id
     salted = stored.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
     # the stated query set against all rows, in blocks: each salt meets every query block
     met = salted.hint("merge").join(asked.hint("merge"), "salt").sortWithinPartitions("asked", "salt")
-    found = met.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
+    found = met.mapInArrow(tidy(_search(k)), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
