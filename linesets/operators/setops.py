@@ -57,7 +57,7 @@ def common(df: DataFrame, removes: DataFrame, key: str = "line", how: str | None
 def attribution(df: DataFrame, removes: DataFrame, key: str = "line") -> DataFrame:
     """(file_idx, removed): rows taken by list k and by no list before it."""
     first = removes.groupBy(F.col("line").alias(key)).agg(F.min("file_idx").alias("file_idx"))
-    return df.join(first, key).groupBy("file_idx").agg(F.count(F.lit(1)).alias("removed"))
+    return df.select(key).join(first, key).groupBy("file_idx").agg(F.count(F.lit(1)).alias("removed"))
 
 
 def dedupe_prefix(df: DataFrame, n: int, order: Sequence[str], key: str = "line") -> DataFrame:
