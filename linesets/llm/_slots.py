@@ -2,49 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from linesets.llm._common import materialize, tidy, with_workers
-
-
-def _count_rows(group: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            values, inverse = np.unique(batch.column(group).to_numpy(zero_copy_only=False), return_inverse=True)
-            order = np.argsort(inverse, kind="stable")
-            sizes = np.bincount(inverse, minlength=len(values))
-            starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-            local = np.empty(batch.num_rows, dtype=np.int64)
-            local[order] = np.arange(batch.num_rows) - starts
-            local += np.array([seen.get(v, 0) for v in values.tolist()], dtype=np.int64)[inverse]
-            for v, n in zip(values.tolist(), sizes.tolist(), strict=True):
-                seen[v] = seen.get(v, 0) + n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(local)], names=[*batch.schema.names, "_local"])
 
-    return run
+from linesets.llm._common import materialize
 
 
 def with_slots(df: DataFrame, group: str, name: str) -> DataFrame:
-    """df with a place from 0 inside each group (an int column without nulls).
+    """df with a place from 0 inside each group (a column without nulls).
 
-    Each task numbers its own rows of a group; what a task counted is offset by
-    the counts of the tasks before it. The numbered rows are written once, so a
+    A group's rows are numbered inside each of df's partitions, and those numbers
+    are offset by the counts of the partitions before it, so a group with most of
+    the rows is numbered by many tasks. The rows are written once with their partition, so a
     task that runs again can't number them anew.
     """
-    with_workers(df.sparkSession)
-    tagged = df.withColumn("_part", F.spark_partition_id())
-    schema = T.StructType([*tagged.schema.fields, T.StructField("_local", T.LongType())])
-    rows = materialize(tagged.mapInArrow(tidy(_count_rows(group)), schema), "slots")
+    rows = materialize(df.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "slots")
     sizes = rows.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return rows.join(bases, [group, "_part"]).withColumn(name, F.col("_base") + F.col("_local")).drop("_part", "_local", "_base")
+    local = rows.withColumn("_local", F.row_number().over(Window.partitionBy(group, "_part").orderBy("_row")) - 1)
+    placed = local.join(bases, [group, "_part"]).withColumn(name, F.col("_base") + F.col("_local"))
+    return placed.drop("_part", "_row", "_local", "_base")
