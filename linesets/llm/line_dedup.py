@@ -3,13 +3,14 @@
 A document is its lines, split at newlines. Two kinds of units are compared:
 
 * every window of `window` consecutive lines of a document, and
-* every line of `long_words` words or more.
+* every shorter run of lines that has `long_words` words or more, unless a
+  part of it has them: a long line, two lines that are long together, and so on.
 
-Winnowing picks the line with the smallest hash of each window (the rightmost
-of equal ones) as its fingerprint; a long line is its own. Two equal windows
+Winnowing picks the line with the smallest hash of each unit (the rightmost
+of equal ones) as its fingerprint; a long line is its own. Two equal units
 have the same fingerprint at the same offset, so a repeated run of `window`
-lines or more, or one that holds a long line, always shares a fingerprint with
-its earlier copy. Positions join on the fingerprint and the unit's content to
+lines or more, or one of `long_words` words or more, always shares a fingerprint
+with its earlier copy. Positions join on the fingerprint and the unit's content to
 the unit's first position in the corpus (by doc_id, then content, then line), and the
 match is extended both ways while the lines agree. Every line in a match whose
 first position is earlier goes.
@@ -45,39 +46,50 @@ def _n_words(line: Column) -> Column:
 
 
 def _hashed(docs: DataFrame, text: str, id_col: str, long_words: int) -> DataFrame:
-    """(_id, _hash, _lines): one row for each distinct document, its lines as hashes and long flags."""
+    """(_id, _hash, _lines): one row for each distinct document, its lines as hashes and words (long_words for all that are long)."""
     with_lines = docs.filter(F.octet_length(text) > 0).select(
         F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), F.split(F.col(text), "\n", -1).alias("_split")
     )
-    # a short line in bytes can't be long in words, so most lines are never split into words
-    long = lambda x: F.when(F.octet_length(x) >= 2 * long_words - 1, _n_words(x) >= long_words).otherwise(F.lit(False))
-    return with_lines.select("_id", "_hash", F.transform("_split", lambda x: F.struct(_hash(x).alias("h"), long(x).alias("long"))).alias("_lines"))
+    words = lambda x: F.least(_n_words(x), F.lit(long_words))
+    return with_lines.select("_id", "_hash", F.transform("_split", lambda x: F.struct(_hash(x).alias("h"), words(x).alias("words"))).alias("_lines"))
 
 
-def _units(hashed: DataFrame, window: int) -> DataFrame:
+def _units(hashed: DataFrame, window: int, long_words: int) -> DataFrame:
     """One row for each unit: its key, its place and the hashes around it."""
     n, lines = F.size("_lines"), F.col("_lines")
     at = lambda i: F.element_at(lines, (i + 1).cast("int"))
 
-    def window_unit(start: Column) -> Column:
-        part = F.transform(F.slice(lines, start + 1, window), lambda x: x["h"])
-        # smallest hash of the window, the rightmost of equal ones
+    def run_unit(start: Column, length: int) -> Column:
+        part = F.transform(F.slice(lines, start + 1, length), lambda x: x["h"])
+        # smallest hash of the run, the rightmost of equal ones
         best = F.array_min(F.transform(part, lambda h, i: F.struct(h.alias("h"), (-i).alias("back"))))
         offset = -best["back"]
         return F.struct(
             best["h"]["a"].alias("fingerprint"), offset.alias("offset"),
             F.struct(F.xxhash64(part).alias("a"), F.xxhash64(F.lit(SECOND_SEED), part).alias("b")).alias("content"),
-            start.alias("start"), F.lit(window).alias("length"),
+            start.alias("start"), F.lit(length).alias("length"),
         )
 
     def long_unit(pos: Column) -> Column:
         h = at(pos)["h"]
         return F.struct(h["a"].alias("fingerprint"), F.lit(0).alias("offset"), h.alias("content"), pos.alias("start"), F.lit(1).alias("length"))
 
-    none = F.array().cast("array<int>")
-    starts = F.when(n >= window, F.sequence(F.lit(0), n - window)).otherwise(none)
-    longs = F.filter(F.sequence(F.lit(0), n - 1), lambda i: at(i)["long"])
-    units = F.concat(F.transform(starts, window_unit), F.transform(longs, long_unit))
+    def is_long(start: Column, length: int) -> Column:
+        return sum((at(start + i)["words"] for i in range(length)), F.lit(0)) >= long_words
+
+    def least_long(start: Column, length: int) -> Column:
+        return is_long(start, length) & ~is_long(start, length - 1) & ~is_long(start + 1, length - 1)
+
+    def starts(length: int) -> Column:
+        return F.when(n >= length, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
+
+    def short_runs(length: int) -> Column:
+        return F.transform(F.filter(starts(length), lambda i: least_long(i, length)), lambda i: run_unit(i, length))
+
+    parts = [F.transform(starts(window), lambda i: run_unit(i, window)), *map(short_runs, range(2, window))]
+    if window > 1:
+        parts.append(F.transform(F.filter(starts(1), lambda i: is_long(i, 1)), long_unit))
+    units = F.concat(*parts)
     exploded = hashed.select("_id", "_hash", "_lines", F.explode(units).alias("u"))
     side = window - 1
     first = F.greatest(F.lit(0), F.col("u.start") - side)
@@ -103,7 +115,7 @@ def repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", w
     from linesets.llm._common import discard, materialize
 
     hashed = materialize(_hashed(docs, text, id_col, long_words).distinct(), "line-hashes")
-    units = _units(hashed, window)
+    units = _units(hashed, window, long_words)
     key = ["fingerprint", "offset", "content", "length"]
     # the first position of each key, combined before the shuffle: a key with a third of the rows is one row a task
     place = F.struct(F.col("_id"), F.col("_hash"), F.col("start"))
@@ -152,15 +164,19 @@ SQL = rf"""
 with l as (
     select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos
     from documents where octet_length(encode(text)) > 0),
+lw as (select *, len(regexp_extract_all(line, '[^ \t-\r]+')) as words from l),
 w as (
-    select *, len(regexp_extract_all(line, '[^ \t-\r]+')) >= {LONG_WORDS} as is_long,
+    select *, lead(words, 1) over o as words1,
         lead(line, 1) over o as l1, lead(line, 2) over o as l2, lag(line, 1) over o as b1, lag(line, 2) over o as b2,
         lead(line, 3) over o as l3, lead(line, 4) over o as l4
-    from l window o as (partition by doc_id order by pos)),
+    from lw window o as (partition by doc_id order by pos)),
 u as (
     select 'w' as kind, [line, l1, l2] as content, doc_id, pos, 3 as n, [b1, b2] as bs, [l3, l4] as afs from w where l2 is not null
     union all
-    select 'l', [line], doc_id, pos, 1, [b1, b2], [l1, l2] from w where is_long),
+    select 'p', [line, l1], doc_id, pos, 2, [b1, b2], [l2, l3] from w
+    where greatest(words, words1) < {LONG_WORDS} and words + words1 >= {LONG_WORDS}
+    union all
+    select 'l', [line], doc_id, pos, 1, [b1, b2], [l1, l2] from w where words >= {LONG_WORDS}),
 f as (
     select *, first_value(doc_id) over k as fd, first_value(pos) over k as fp, first_value(bs) over k as fb, first_value(afs) over k as fa
     from u window k as (partition by kind, content order by doc_id, pos)),

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -104,6 +105,47 @@ def test_lines_cut(spark):
     assert found[6] == ("n", 5)  # a run that overlaps its own first copy goes from there on
 
 
+def brute_lines(texts: dict[int, str], window: int, long_words: int) -> dict[int, str]:
+    """Every run of lines compared with all earlier ones."""
+    lines = {d: t.split("\n") for d, t in texts.items()}
+    n_words = lambda d, i, n: len(re.findall(r"[^ \t-\r]+", " ".join(lines[d][i : i + n])))
+    first, cut = {}, set()
+    for d in sorted(lines):
+        for i in range(len(lines[d])):
+            for n in range(1, min(window, len(lines[d]) - i) + 1):
+                if n < window and (n_words(d, i, n) < long_words or any(n_words(d, k, n - 1) >= long_words for k in (i, i + 1)) and n > 1):
+                    continue
+                e, j = first.setdefault(tuple(lines[d][i : i + n]), (d, i))
+                if (e, j) == (d, i):
+                    continue
+                low, high = 0, n
+                while low > 1 - window and min(i, j) + low > 0 and lines[d][i + low - 1] == lines[e][j + low - 1]:
+                    low -= 1
+                while high < n + window - 1 and i + high < len(lines[d]) and j + high < len(lines[e]) and lines[d][i + high] == lines[e][j + high]:
+                    high += 1
+                cut |= {(d, k) for k in range(i + low, i + high)}
+    return {d: "\n".join(x for i, x in enumerate(lines[d]) if (d, i) not in cut) for d in lines}
+
+
+def test_lines_long_together(spark):
+    one, two = " ".join(f"a{i}" for i in range(23)), " ".join(f"b{i}" for i in range(46))
+    short = " ".join(f"c{i}" for i in range(3))
+    rows = [(1, f"{one}\n{two}"), (2, f"{one}\n{two}"), (3, f"x\n{one}\n{two}\ny"), (4, f"{short}\n{two}"), (5, f"{two}\n{one}"), (6, f"q\n{short}\n{two}")]
+    found = {r["doc_id"]: (r["text"], r[line_dedup.N_CUT]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {1: (rows[0][1], 0), 2: ("", 2), 3: ("x\ny", 2), 4: (rows[3][1], 0), 5: (rows[4][1], 0), 6: (rows[5][1], 0)}
+
+
+@pytest.mark.parametrize(("window", "long_words"), [(3, 6), (4, 7), (2, 4), (1, 3)])
+def test_lines_brute_force(spark, window, long_words):
+    rng = random.Random(window)
+    parts = [" ".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 3, 4, 8]))) for _ in range(14)]
+    texts = {d: "\n".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for d in range(120)}
+    texts = {d: t for d, t in texts.items() if t}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame, window=window, long_words=long_words).collect()}
+    assert found == brute_lines(texts, window, long_words)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]

@@ -246,8 +246,11 @@ def brute_pipeline(spark, docs_rows):
         x = lines[d]
         if i + line_dedup.WINDOW <= len(x):
             units.append((d, i, line_dedup.WINDOW))
-        if len(re.findall(r"[^\x20\x09-\x0D]+", x[i])) >= line_dedup.LONG_WORDS:
+        words = [len(re.findall(r"[^\x20\x09-\x0D]+", y)) for y in x[i : i + 2]]
+        if words[0] >= line_dedup.LONG_WORDS:
             units.append((d, i, 1))
+        if max(words) < line_dedup.LONG_WORDS <= sum(words):
+            units.append((d, i, 2))
     for d, i, n in units:
         key = tuple(lines[d][i : i + n])
         if key not in first:
