@@ -42,6 +42,8 @@ SECTION = 4
 #: Bytes of text that one range of ids holds, about.
 RANGE_BYTES = 4 << 20
 MOST_RANGES = 4096
+#: Ids are counted in at most 2^16 cells; a cell with too many is counted anew in 2^4.
+CELLS, FINER_BITS = 1 << 16, 4
 
 _pieces = re.compile(r"(?:[^ ]* ){%d}" % PIECE_WORDS)
 
@@ -228,15 +230,48 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=SCHEMA.names)
 
 
+def range_borders(ids: DataFrame, n_ranges: int) -> list[int]:
+    """Ids that begin a new range: fewer than n_ranges, with about as many rows between any two.
+
+    ids has doc_id without nulls. They are counted by their leading bits, combined
+    before the shuffle, and cells that hold more than a range should are counted by
+    more bits, so ids may lie as unevenly as they like. At most MOST_RANGES such cells exist,
+    which bounds the counts that come to the driver.
+    """
+    low, high, total = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    if not total or n_ranges < 2:
+        return []
+    share, shift = -(-total // n_ranges), 0
+    while (high >> shift) - (low >> shift) >= CELLS:
+        shift += 1
+    cells: list[tuple[int, int]] = []  # first id, rows
+    rows = ids
+    while True:
+        found = rows.groupBy(F.shiftright("doc_id", shift).alias("cell")).agg(F.count("doc_id").alias("n")).collect()
+        heavy = [r["cell"] for r in found if r["n"] > share and shift]
+        cells += [(r["cell"] << shift, r["n"]) for r in found if r["n"] <= share or not shift]
+        if not heavy:
+            break
+        rows = ids.filter(F.shiftright("doc_id", shift).isin(heavy))
+        shift = max(0, shift - FINER_BITS)
+    borders, held = [], 0
+    for first, n in sorted(cells):
+        if held >= share:
+            borders.append(first)
+            held = 0
+        held += n
+    return borders
+
+
 def with_next(docs: DataFrame, n_ranges: int) -> DataFrame:
     """(span, guest, doc_id, text): documents dealt to ranges of ids, each followed by a copy of the document after it.
 
-    Range borders are quantiles of the ids; the texts move once.
+    Ranges hold about as many documents each; the texts move once.
     """
     spark = docs.sparkSession
-    borders = docs.filter("doc_id is not null").approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges) if n_ranges > 1 else []
+    borders = range_borders(docs.filter("doc_id is not null").select("doc_id"), n_ranges)
     # the range of an id is the number of borders that aren't above it; null ids are below all
-    steps = F.array(*[F.lit(int(b)) for b in sorted(set(borders))]).cast("array<bigint>")
+    steps = F.array(*[F.lit(int(b)) for b in borders]).cast("array<bigint>")
     spans = docs.withColumn("span", F.coalesce(F.size(F.filter(steps, lambda s: s <= F.col("doc_id"))), F.lit(0)))
     # the first document of each range, of the ranges that have one, in descending order
     firsts = [(r["span"], r["id"]) for r in spans.groupBy("span").agg(F.max("doc_id").alias("id")).orderBy(F.desc("span")).collect()]

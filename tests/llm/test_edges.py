@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, repeated rows, empty tables, columns with clashing names."""
 
+import bisect
+import collections
 import os
 import random
 import re
@@ -146,6 +148,20 @@ def test_lines_brute_force(spark, window, long_words):
     assert found == brute_lines(texts, window, long_words)
 
 
+def test_range_borders(spark):
+    rng = random.Random(8)
+    spread = [i * 7 for i in range(3000)]
+    uneven = list(range(2000)) + [rng.randrange(-(2**63), 2**63) for _ in range(300)] + [2**40 + i for i in range(500)] + [2**62] * 400
+    for ids, n in ((spread, 10), (uneven, 16), ([5] * 50, 4), ([], 4), ([-(2**63), 2**63 - 1], 2)):
+        borders = merkle.range_borders(spark.createDataFrame([(i,) for i in ids], "doc_id bigint"), n)
+        assert borders == sorted(set(borders))
+        assert len(borders) < n
+        sizes = collections.Counter(bisect.bisect_right(borders, i) for i in ids)
+        share = -(-len(ids) // n)
+        most = max(collections.Counter(ids).values(), default=0)
+        assert max(sizes.values(), default=0) <= 2 * share + most
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
