@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linesets.llm import bpe, language_id, licenses, line_dedup, merkle, ngram_join, ngram_lm, packing, shard_tree, va_search
+from linesets.llm import bpe, language_id, licenses, line_dedup, merkle, ngram_join, ngram_lm, packing, passages, shard_tree, va_search
 
 QUERIES = {
     "op1_va_search": va_search.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language_id": language_id.query,
     "op6_shard_tree": shard_tree.query,
     "op7_line_dedup": line_dedup.query,
+    "op7_passage_dedup": passages.query,
     "op8_kneser_ney": ngram_lm.query,
     "op9_bpe": bpe.query,
     "op10_license_scan": licenses.query,
