@@ -68,10 +68,10 @@ def rank_within(df: DataFrame, group: str, key: str) -> DataFrame:
     )
 
 
-def length_histogram(df: DataFrame, key: str = "line", max_length: int = 1_000_000) -> DataFrame:
+def length_histogram(df: DataFrame, key: str = "line", max_length: int | None = 1_000_000) -> DataFrame:
     """(len, cnt, pct, cumul) over distinct lines, count descending then length.
 
-    Empty if a line has max_length bytes or more. The window is over one row for
+    Empty if a line has max_length bytes or more; None is no limit. The window is over one row for
     each length.
     """
     lengths = df.select(key).distinct().groupBy(byte_length(F.col(key)).alias("len")).agg(F.count(F.lit(1)).alias("cnt"))
@@ -83,7 +83,7 @@ def length_histogram(df: DataFrame, key: str = "line", max_length: int = 1_000_0
         (F.col("cnt").cast("double") * F.lit(100.0) / total).alias("pct"),
         (F.sum("cnt").over(order).cast("double") * F.lit(100.0) / total).alias("cumul"),
         F.max("len").over(everything).alias("_longest"),
-    ).filter(F.col("_longest") < max_length).drop("_longest")
+    ).filter(F.lit(True) if max_length is None else F.col("_longest") < max_length).drop("_longest")
 
 
 def length_bounds(df: DataFrame, key: str = "line") -> DataFrame:

@@ -116,7 +116,7 @@ def freq_running(spark, d):
 
 
 def hist_len(spark, d):
-    return freq.length_histogram(doc_lines(spark, d))
+    return freq.length_histogram(doc_lines(spark, d), max_length=None)
 
 
 def len_minmax(spark, d):
