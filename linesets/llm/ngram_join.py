@@ -24,15 +24,15 @@ link when 100 * |A and B| >= 75 * |A or B|, that is when the overlap is at least
   to blocks, each with the pivot; sets that a block could not connect to
   the pivot are then compared with all other blocks.
 * Equal sets are one: they collapse before the join, and links are edges between
-  the smallest doc_id of each. Components come from rounds of joins.
+  numbers of sets. Components come from rounds of joins; doc_ids come in at the end.
 
 Tokens in cells with more than `HOT_CELL` occurrences take another road to their
 pivots, as plain rows that are aggregated before they are shuffled.
 
 Null texts, and texts without words, have empty sets and link with nothing; fewer
 than 5 words are one shingle. Rows that repeat a doc_id are one document of each
-text: they share a component if any of them does. A null doc_id can't be smallest
-where another is there; such documents come back with their own links.
+text: their sets are linked with each other. A null doc_id links like others but can't
+be smallest where another is there; a component of null ids alone is null.
 """
 
 from __future__ import annotations
@@ -127,7 +127,7 @@ def prefix(tokens: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells = np.zeros(1 << CELL_BITS, np.int64)
-    names = ["doc_id", "high", "low", "n", "vector", "cells"]
+    names = ["doc_id", "hash", "high", "low", "n", "vector", "cells"]
     for batch in batches:
         rows: list[tuple[int, int, int, bytes]] = []
         for _, part in _text.slices(_text.texts(batch.column(1))):
@@ -136,9 +136,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells += np.bincount(cell_of(np.concatenate(sets)), minlength=1 << CELL_BITS)
         high, low, n, vector = zip(*rows, strict=True) if rows else ((), (), (), ())
         found = [pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(n, pa.int64()), pa.array(vector, pa.binary())]
-        columns = [batch.column(0), *found, pa.nulls(len(rows), pa.binary())]
+        columns = [batch.column(0), batch.column(2), *found, pa.nulls(len(rows), pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=names)
-    empty = [pa.nulls(1, pa.int64())] * 4
+    empty = [pa.nulls(1, pa.int64())] * 5
     yield pa.RecordBatch.from_arrays([*empty, pa.nulls(1, pa.binary()), pa.array([cells.astype(np.uint32).tobytes()], pa.binary())], names=names)
 
 
@@ -453,16 +453,18 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        blobs = [s.tobytes() for _, part in _text.slices(_text.texts(batch.column(1))) for s in shingle_sets(part)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["id", "tokens"])
+        sets = [s for _, part in _text.slices(_text.texts(batch.column(0))) for s in shingle_sets(part)]
+        high, low = zip(*map(signature, sets), strict=True) if sets else ((), ())
+        columns = [pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["high", "low", "tokens"])
 
 
 # the join ----------------------------------------------------------------------------------
 
 
 def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, high, low, n, vector) of every document, counts of cells)."""
-    first = materialize(docs.select("doc_id", "text").mapInArrow(tidy(_describe), "doc_id bigint, high bigint, low bigint, n bigint, vector binary, cells binary"), "shingle-sets")
+    """((doc_id, hash of the text, high, low, n, vector) of every document, counts of cells)."""
+    first = materialize(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(_describe), "doc_id bigint, hash bigint, high bigint, low bigint, n bigint, vector binary, cells binary"), "shingle-sets")
     # 2^20 counts a task, added up by a few tasks: a bounded array, however many documents
     blobs = first.filter("cells is not null").select("cells")
     cells = np.zeros(1 << CELL_BITS, np.int64)
@@ -490,7 +492,10 @@ def _pruned(pairs: DataFrame, described: DataFrame, sets: DataFrame) -> DataFram
     """Members that may have a partner by the bound on count vectors; a neighbourhood of very many keeps all."""
     counted = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
     sized = pairs.join(counted.filter("m > 1"), "pivot")
-    vectors = described.select(F.col("doc_id").alias("id"), "high", "low", "vector").join(sets.select("id", "high", "low"), ["id", "high", "low"])
+    # of rows with one set, the one with its least doc_id
+    own, least = described.alias("d"), sets.alias("s")
+    same = (F.col("d.high") == F.col("s.high")) & (F.col("d.low") == F.col("s.low")) & F.col("d.doc_id").eqNullSafe(F.col("s.rep"))
+    vectors = own.join(least, same).select("s.id", "d.vector")
     vectors = vectors.groupBy("id").agg(F.min("vector").alias("vector"))
     few = sized.filter(F.col("m") <= TREE_ROWS).select("pivot", "id", "n").join(vectors, "id").select("pivot", "id", "n", "vector")
     dealt = few.repartition("pivot").sortWithinPartitions("pivot")
@@ -499,10 +504,23 @@ def _pruned(pairs: DataFrame, described: DataFrame, sets: DataFrame) -> DataFram
     return materialize(kept.unionByName(many), "near-members")
 
 
-def links(docs: DataFrame, described: DataFrame, cells: np.ndarray) -> DataFrame:
-    """(a, b): links between representatives that connect all that is linked."""
-    sets = described.filter("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
-    sets = materialize(sets.filter("id is not null"), "sets")
+def distinct_sets(described: DataFrame) -> DataFrame:
+    """(high, low, rep, n, id) of each set: rep is its least doc_id, null if all are; id is a number."""
+    sets = described.filter("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    return materialize(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+
+
+def repeated_ids(described: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between sets that one doc_id has."""
+    slim = described.filter("n > 0 and doc_id is not null").select("doc_id", F.struct("high", "low").alias("own"))
+    several = slim.groupBy("doc_id").agg(F.min("own").alias("least"), F.max("own").alias("most")).filter("least < most")
+    held = slim.join(several.select("doc_id"), "doc_id").distinct().select("doc_id", "own.*").join(sets.select("high", "low", "id"), ["high", "low"])
+    least = held.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return held.join(least, "doc_id").select("a", F.col("id").alias("b")).filter("a <> b")
+
+
+def links(docs: DataFrame, described: DataFrame, sets: DataFrame, cells: np.ndarray) -> DataFrame:
+    """(a, b): links between sets that connect all that is linked."""
     members = memberships(docs, described, cells)
     named = members.join(sets, ["high", "low"]).select("id", "n", F.col("p_high").alias("high"), F.col("p_low").alias("low"))
     pairs = named.join(sets.select("high", "low", F.col("id").alias("pivot")), ["high", "low"]).select("pivot", "id", "n")
@@ -513,12 +531,13 @@ def links(docs: DataFrame, described: DataFrame, cells: np.ndarray) -> DataFrame
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     placed = pairs.join(parts, "pivot").select("pivot", "id", "blocks", F.explode(F.when(F.col("id") == F.col("pivot"), every).otherwise(F.array(own))).alias("block"))
-    ids = materialize(pairs.select("id").distinct(), "candidates")
+    ids = materialize(pairs.select("id").distinct().join(sets.select("id", "rep", "high", "low"), "id"), "candidates")
     small = ids.count() <= BROADCAST_IDS
-    wanted = docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
-    # rows that repeat an id: the set of the smallest text stands for it
-    tokens = wanted.mapInArrow(tidy(_sets_of), "id bigint, tokens binary")
-    tokens = materialize(tokens.groupBy("id").agg(F.min("tokens").alias("tokens")), "candidate-sets")
+    reps = ids.select("rep").distinct()
+    wanted = docs.join(F.broadcast(reps) if small else reps, docs["doc_id"].eqNullSafe(reps["rep"]), "left_semi").select("text")
+    # a doc_id may have other texts too: the signature tells which set is wanted
+    tokens = wanted.mapInArrow(tidy(_sets_of), "high bigint, low bigint, tokens binary").join(ids.select("high", "low", "id"), ["high", "low"])
+    tokens = materialize(tokens.groupBy("high", "low", "id").agg(F.min("tokens").alias("tokens")).select("id", "tokens"), "candidate-sets")
     full = placed.join(tokens, "id").select("pivot", "block", "blocks", "id", "tokens")
     solved = full.repartition("pivot", "block").sortWithinPartitions("pivot", "block")
     found = materialize(solved.select("pivot", "block", "id", "tokens").mapInArrow(tidy(_neighbourhoods), "pivot bigint, block int, a bigint, b bigint"), "links")
@@ -531,20 +550,28 @@ def links(docs: DataFrame, described: DataFrame, cells: np.ndarray) -> DataFrame
         both = there.unionByName(visit.select("pivot", "block", F.lit(True).alias("visits"), "id", "tokens"))
         met = both.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "visits")
         edges = edges.unionByName(met.mapInArrow(tidy(_across), "a bigint, b bigint"))
-    return edges
+    return edges.unionByName(repeated_ids(described, sets))
 
 
-def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def grouped(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, hash of the text, n_shingles, component, component_id) of every row; component is a number, null without words."""
     with_workers(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     described, cells = describe(slim)
-    joined = components(links(slim, described, cells))
-    named = described.filter("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
-    named = named.join(joined, named["rep"] == joined["id"], "left").select("high", "low", F.coalesce("component", "rep").alias("component_id"))
+    sets = distinct_sets(described)
+    joined = components(links(slim, described, sets, cells))
+    least = joined.join(sets.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("least"))
+    named = sets.join(joined, "id", "left").join(least, "component", "left")
+    named = named.select("high", "low", F.coalesce("component", "id").alias("component"), F.coalesce("least", "rep").alias("component_id"))
     linked = described.filter("n > 0").join(named, ["high", "low"])
-    alone = described.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+    alone = described.filter("n = 0").withColumns({"component": F.lit(None).cast("bigint"), "component_id": F.col("doc_id")})
+    names = ["doc_id", "hash", F.col("n").alias("n_shingles"), "component", "component_id"]
+    return linked.select(*names).unionByName(alone.select(*names))
+
+
+def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    return grouped(docs, text, id_col).select("doc_id", "n_shingles", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
