@@ -41,19 +41,25 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id.
 
-    Rows that repeat its doc_id are its copies too: the least text stays. Documents
-    without words are copies of nothing and stay.
+    Rows that repeat its doc_id are its copies too: the least text stays. A row with
+    a null id goes if its group has another id; of a group without any, one row
+    stays. Documents without words are copies of nothing and stay.
     """
-    groups = ngram_join.classes(docs)
-    # a null id names no group
-    kept = groups.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    best = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    named = best.filter("doc_id is not null")
+    groups = ngram_join.grouped(docs)
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     one = named.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_row"), F.count(F.lit(1)).alias("_n"))
     repeated = one.filter("_n > 1")
     single = named.join(repeated.select(F.col("doc_id").alias("_again")), F.col("doc_id") == F.col("_again"), "left_anti")
     chosen = repeated.select("doc_id", "_row.*").select(*docs.columns)
-    return single.unionByName(chosen).unionByName(best.filter("doc_id is null")).select(*docs.columns)
+    # rows with null ids are told by their texts
+    nameless = groups.filter("doc_id is null")
+    wordless = nameless.filter("component is null").select(F.col("hash").alias("_kept")).distinct()
+    lone = nameless.filter("component is not null and component_id is null").groupBy("component").agg(F.min("hash").alias("_kept")).select("_kept")
+    null = docs.filter("doc_id is null")
+    alike = F.xxhash64("text") == F.col("_kept")
+    first = null.join(lone, alike, "left_semi").groupBy(F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return single.unionByName(chosen).unionByName(null.join(wordless, alike, "left_semi")).unionByName(first).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
