@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are worked on at once; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -28,9 +29,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-with np.errstate(over="ignore"):
-    BYTE_CODE = mix(STEP * np.arange(1, 257, dtype=np.uint64))
-BASE = np.uint64(0xD6E8FEB86659FD93)  # odd, so its powers stay units
+BASE = np.uint64(0xD6E8FEB86659FD93)
+KEY = 0x2545F4914F6CDD1D  # of hashes that needn't be secret
+
+#: Bytes of a lane, and of words that are hashed lane by lane; longer ones go through xxhash one by one.
+LANE, SHORT = 8, 64
+#: Bytes that are looked at together.
+WINDOW_BYTES = 4 << 20
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(LANE + 1)], np.uint64)
 
 
 def texts(column: pa.Array) -> list[bytes | None]:
@@ -50,48 +56,132 @@ def slices(found: list[bytes | None], limit: int = SLICE_BYTES) -> Iterator[tupl
         yield at, part
 
 
+def stretches(found: list[bytes | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes], bool]]:
+    """(first row, texts, ended) like slices, but a text beyond the limit is cut behind spaces and newlines.
+
+    Its parts come one by one; ended is False for all but the last of them.
+    """
+    at, part, size = 0, [], 0
+    for i, t in enumerate(found):
+        t = t or b""
+        if len(t) <= limit:
+            part.append(t)
+            size += len(t)
+            if size < limit:
+                continue
+        if part:
+            yield at, part, True
+        at, part, size = i + 1, [], 0
+        if len(t) <= limit:
+            continue
+        a = 0
+        while len(t) - a > limit:
+            b = max(t.rfind(b" ", a, a + limit), t.rfind(b"\n", a, a + limit))
+            if b < 0:  # a word longer than that
+                after = [x for x in (t.find(b" ", a + limit), t.find(b"\n", a + limit)) if x >= 0]
+                if not after:
+                    break
+                b = min(after)
+            yield i, [t[a : b + 1]], False
+            a = b + 1
+        yield i, [t[a:]], True
+    if part:
+        yield at, part, True
+
+
 @dataclass
 class Words:
     """hash of each word, in order; first[i] to first[i + 1] are those of text i.
 
-    Word j is buffer[starts[j]:ends[j]].
+    Word j is buffer[starts[j]:ends[j]]; the buffer goes on for a lane after its last word.
     """
 
     hash: np.ndarray
     first: np.ndarray
-    buffer: bytes
+    buffer: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
 
+    def spelled(self, which: np.ndarray) -> list[bytes]:
+        return [self.buffer[a:b].tobytes() for a, b in zip(self.starts[which].tolist(), self.ends[which].tolist(), strict=True)]
+
 
-def words(part: list[bytes], inside: np.ndarray = SPACED, fold: np.ndarray | None = LOWER) -> Words:
-    """Runs of bytes marked in `inside`, folded, as 64-bit hashes of their bytes.
+def lanes(buffer: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a number."""
+    return np.ndarray((max(len(buffer) - LANE + 1, 0),), "<u8", buffer, strides=(1,))
 
-    A word's hash is a polynomial in its bytes' codes, mixed, so it depends on
-    the bytes alone.
+
+def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = KEY) -> np.ndarray:
+    """64-bit hashes of words of a buffer that goes on for a lane after them.
+
+    A word's length and its lanes of 8 bytes pass one by one through a bijection on
+    64 bits, so words of up to 8 bytes never collide and others do about as often as random
+    numbers. Long words get xxh3. With a key that nobody knows beforehand no text can
+    be made to collide.
     """
-    joined = b" ".join(part) + b" "
-    buffer = np.frombuffer(joined, dtype=np.uint8)
-    ends_of_texts = np.cumsum(np.fromiter((len(t) + 1 for t in part), np.int64, len(part)))
-    held = inside[buffer]
+    at, length = lanes(buffer), ends - starts
+    with np.errstate(over="ignore"):
+        out = mix(length.astype(np.uint64) * STEP + np.uint64(key))
+        out = mix((out ^ (at[starts] & MASKS[np.minimum(length, LANE)])) + STEP)
+        more = np.flatnonzero((length > LANE) & (length <= SHORT))
+        done = LANE
+        while len(more):
+            lane = at[starts[more] + done] & MASKS[np.minimum(length[more] - done, LANE)]
+            out[more] = mix((out[more] ^ lane) + STEP)
+            done += LANE
+            more = more[length[more] > done]
+    for i in np.flatnonzero(length > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buffer[starts[i] : ends[i]], key)
+    return out
+
+
+def same_words(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which words of two buffers (a lane longer than their last words) agree in all of `length` bytes."""
+    left, right = lanes(a), lanes(b)
+    out = ((left[a_starts] ^ right[b_starts]) & MASKS[np.minimum(length, LANE)]) == 0
+    more, done = np.flatnonzero(out & (length > LANE) & (length <= SHORT)), LANE
+    while len(more):
+        differ = (left[a_starts[more] + done] ^ right[b_starts[more] + done]) & MASKS[np.minimum(length[more] - done, LANE)]
+        out[more[differ != 0]] = False
+        done += LANE
+        more = more[(differ == 0) & (length[more] > done)]
+    for i in np.flatnonzero(out & (length > SHORT)).tolist():
+        out[i] = np.array_equal(a[a_starts[i] : a_starts[i] + length[i]], b[b_starts[i] : b_starts[i] + length[i]])
+    return out
+
+
+def _borders(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True; the last value is False."""
     edges = np.flatnonzero(held[1:] != held[:-1]) + 1
-    if held[0]:
+    if len(held) and held[0]:
         edges = np.concatenate([[0], edges])
-    starts, ends = edges[0::2], edges[1::2]
-    first = np.concatenate([[0], np.searchsorted(starts, ends_of_texts)])
-    if not len(starts):
-        return Words(np.empty(0, np.uint64), first, joined, starts, ends)
-    lengths = ends - starts
-    # bytes of words alone, and each one's place in its word
-    packed = buffer[held]
+    return edges[0::2], edges[1::2]
+
+
+def words(part: list[bytes], inside: np.ndarray = SPACED, fold: np.ndarray | None = LOWER, key: int = KEY) -> Words:
+    """Runs of bytes marked in `inside`, folded, with hashes of their bytes.
+
+    Long buffers are worked on in windows that end between words.
+    """
+    joined = b" ".join([*part, b" " * LANE]) + b" "
+    buffer = np.frombuffer(joined, dtype=np.uint8)
     if fold is not None:
-        packed = fold[packed]
-    offsets = np.cumsum(lengths) - lengths
-    place = np.arange(len(packed)) - np.repeat(offsets, lengths)
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(int(lengths.max()), BASE, dtype=np.uint64))
-        sums = np.add.reduceat(BYTE_CODE[packed] * powers[place], offsets)
-        return Words(mix(sums + STEP * lengths.astype(np.uint64)), first, joined, starts, ends)
+        buffer = fold[buffer]
+    ends_of_texts = np.cumsum(np.fromiter((len(t) + 1 for t in part), np.int64, len(part)))
+    found: list[tuple[np.ndarray, ...]] = []
+    a = 0
+    while a < len(buffer):
+        b = min(a + WINDOW_BYTES, len(buffer))
+        while b < len(buffer) and inside[buffer[b - 1]]:  # to the end of the word
+            stop = np.flatnonzero(~inside[buffer[b : b + WINDOW_BYTES]])
+            b = b + int(stop[0]) + 1 if len(stop) else min(b + WINDOW_BYTES, len(buffer))
+        starts, ends = _borders(inside[buffer[a:b]])
+        starts, ends = starts + a, ends + a
+        found.append((word_hashes(buffer, starts, ends, key) if len(starts) else np.empty(0, np.uint64), starts, ends))
+        a = b
+    hashes, starts, ends = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*found, strict=True))
+    first = np.concatenate([[0], np.searchsorted(starts, ends_of_texts)])
+    return Words(hashes, first, buffer, starts, ends)
 
 
 def chained(codes: list[np.ndarray]) -> np.ndarray:

@@ -7,6 +7,7 @@ ids are those of its pieces in turn.
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -37,22 +38,34 @@ def ids_table(path: str) -> WordTable:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
-        def compute(pieces: list[bytes]) -> list[tuple[np.ndarray]]:
-            out: list[tuple[np.ndarray]] = []
+        def compute(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            out: list[list[int]] = []
             for at in range(0, len(pieces), 2048):  # the library's results are large
                 coded = tokenizer.encode_batch_fast([p.decode() for p in pieces[at : at + 2048]], add_special_tokens=False)
-                out += [(np.array(e.ids, dtype=np.uint32),) for e in coded]
-            return out
+                out += [e.ids for e in coded]
+            sizes = np.fromiter(map(len, out), np.int64, len(out))
+            return np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(sizes.sum())), sizes
 
-        _tables[path] = WordTable(compute, (np.uint32,))
+        _tables[path] = WordTable(compute, np.uint32)
     return _tables[path]
 
 
-def encode_all(texts: list[bytes | None], path: str) -> Iterator[np.ndarray]:
-    """Unsigned 32-bit ids of each text; null is empty."""
-    known = ids_table(path)
-    for _, part in _text.slices(texts):
+def coded(texts: list[bytes | None], known: WordTable) -> Iterator[np.ndarray]:
+    """Ids of each text from a table of pieces; null is empty. A long text is worked on in parts."""
+    held: list[np.ndarray] = []  # of a text that goes on
+    for _, part, ended in _text.stretches(texts):
         found = _text.words(part, BETWEEN, None)
-        ids, first = known.gather(0, known.rows(found), found.first)
+        ids, first = known.gather(known.rows(found), found.first)
+        if held or not ended:
+            held.append(ids)
+            if ended:
+                yield np.concatenate(held)
+                held = []
+            continue
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             yield ids[a:b]
+
+
+def encode_all(texts: list[bytes | None], path: str) -> Iterator[np.ndarray]:
+    """Unsigned 32-bit ids of each text."""
+    return coded(texts, ids_table(path))
