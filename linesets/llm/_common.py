@@ -48,10 +48,27 @@ def _give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_caches: list[tuple[str, dict]] = []
+
+
+def worker_cache(user: str) -> dict:
+    """What a worker keeps from task to task for the operator in module `user`; it goes when another operator's task starts."""
+    held: dict = {}
+    _caches.append((user, held))
+    return held
+
+
+def _enter(user: str) -> None:
+    for owner, held in _caches:
+        if owner != user:
+            held.clear()
+
+
 def tidy(run):
     """run over Arrow batches; a worker that waits for its next task holds only what it still uses."""
 
     def tidied(batches):
+        _enter(run.__module__)
         try:
             yield from run(batches)
         finally:
@@ -71,14 +88,49 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, with the scheme of its file system, so workers see whether it is a mounted one."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/linesets/{name}-{uuid.uuid4().hex}")
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(jpath).toString()
+
+
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are materialized meanwhile are deleted at the end, also if a step fails."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            delete(spark, path)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    path = _place(spark, name)
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: lineage is cut, and a lost executor takes nothing with it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/linesets/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def result(df: DataFrame, name: str) -> str:
+    """Where df was written: a table that stays when the scratch tables around it go."""
+    path = _place(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
@@ -87,5 +139,5 @@ def delete(spark: SparkSession, path: str) -> None:
 def discard(*frames: DataFrame) -> None:
     """Deletes materialized tables that no later step reads."""
     for df in frames:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            delete(df.sparkSession, folder)
+        for found in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete(df.sparkSession, found)

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 
 from linesets.llm import _text
+from linesets.llm._common import worker_cache
 from linesets.llm._wordtable import BETWEEN, WordTable
 
 VOCABULARY = "word_bpe_49k.json"
@@ -25,7 +26,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-_tables: dict[str, WordTable] = {}
+_tables: dict[str, WordTable] = worker_cache("linesets.llm.packing")
 
 
 def ids_table(path: str) -> WordTable:

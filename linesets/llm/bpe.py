@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linesets.llm import _text, _tokens
-from linesets.llm._common import table, tidy, with_workers
+from linesets.llm._common import table, tidy, with_workers, worker_cache
 from linesets.llm._tokens import vocabulary_path
 from linesets.llm._wordtable import BETWEEN, Pool, WordTable, spread
 
@@ -410,7 +410,7 @@ def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
 
 
-_loaded: dict[str, tuple[Bpe, WordTable]] = {}
+_loaded: dict[str, tuple[Bpe, WordTable]] = worker_cache(__name__)
 
 
 def loaded(path: str) -> tuple[Bpe, WordTable]:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linesets.llm import _text
-from linesets.llm._common import table, tidy, with_workers
+from linesets.llm._common import table, tidy, with_workers, worker_cache
 
 UNDETERMINED = "und"
 PER_LABEL = 150
@@ -77,7 +77,7 @@ def grams(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(_codes(raw))) if len(raw) > 1 else np.unique(raw.astype(np.int32))
 
 
-_columns: dict[bytes, np.ndarray] = {}
+_columns: dict[bytes, np.ndarray] = worker_cache(__name__)
 
 
 @dataclass
