@@ -1,198 +1,238 @@
 """Exact top-k search by inner product with vector-approximation files.
 
-Vectors become integers, floor(scale * x). They are stored in blocks: the exact
-components, and for each dimension the cell of 16 (of equal counts) a component
-falls in, with the least and the largest component of every cell. A query scans
-the cells first: a vector's score can't exceed the sum over dimensions of the
-query's component times the cell's end that suits its sign. Exact vectors are then
-read in the order of these bounds, the largest first, until the k-th best score
-so far is above all bounds left, so the result is exact.
-
-Queries are blocks too. Every block of vectors meets every block of queries once,
-keyed by query block and a salt, so no side is broadcast; what a block leaves, k
-rows a query, is ranked once more by query.
+Vectors become integers, floor(scale * x), and stand in two files. The exact file has a row
+for each vector. The approximation file has blocks of vectors with one byte for each component:
+the cell it falls in, of 256 cells of equal width between the block's least and largest
+component of that dimension. It is a fraction of the exact one.
+
+* Scan. Cells of equal width make a bound cheap: the score of the cells' middles is one matrix
+  product of queries and cells, and no vector of these cells scores more or less than
+  that by half a cell's width times the query's component, summed over dimensions, which is one
+  number for a query and a block. A vector is a candidate if its upper bound isn't below the k-th
+  largest lower bound.
+* Read. The k candidates with the largest upper bounds are read from the exact file first. Their
+  k-th best score is certain to be reached, so of the rest only those are read whose
+  upper bound isn't below it; then the k-th result is certain.
+
+Approximations are dealt to parts of bounded size. Queries, in blocks, pass by the cells of one
+part at a time, so a worker holds one part and one block of queries; no side is broadcast, and of
+each part only the candidates leave. Every query meets every vector, as a bound.
 
 Rows whose vector is null or holds a null or non-finite component, or whose id is
 null, take no part. A shorter vector counts as if zeros followed. A query's own
 rows are those of its id. Of several rows with one query id, the least vector
-asks. Rows repeated among the candidates are found as often as they stand there.
-Scores are 64-bit; components are clipped to 62 bits.
+asks. Rows repeated among the candidates are found as often as they stand there; ties go to
+the smaller id. An empty table gives no rows. Only the id and the vector are read, so other
+columns may have any name. Scores are 64-bit: components so large that a score might
+not fit are an error, never a wrong score.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linesets.llm._common import materialize, table, tidy, with_workers
+from linesets.llm._common import materialize, result, scratch, table, tidy, with_workers
 
 K = 5
 SCALE = 256
 EVERY = 50
-CELLS = 16
+CELLS = 256
 BLOCK_ROWS = 4096
-QUERY_ROWS = 1024
-SALTS = 64
-EXACT = float(1 << 53)
+#: Vectors of a part, about, that a worker holds as cells, and queries that pass by together.
+PART_ROWS = 1 << 18
+QUERY_ROWS = 512
+LARGEST = float(1 << 62)
 
 
-def vectors(batch: pa.RecordBatch, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, integer components, zeros at the end) of a batch's rows that take part."""
-    column = batch.column(1)
-    lists = pa.array([], column.type.value_type) if not len(column) else column.flatten()
-    sizes = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+# the two files -------------------------------------------------------------------------------
+
+
+def integers(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
+    """(id, v): the vectors that take part, as integers."""
+    v = F.col(vector).cast("array<double>")
+    clean = F.col(id_col).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    whole = F.transform(v, lambda x: F.greatest(F.least(F.floor(x * scale).cast("double"), F.lit(LARGEST)), F.lit(-LARGEST)).cast("bigint"))
+    return df.filter(clean).select(F.col(id_col).cast("bigint").alias("id"), whole.alias("v"))
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Lists of integers as rows, zeros at the end."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), int(sizes.max(initial=0))), np.int64)
     row = np.repeat(np.arange(len(column)), sizes)
-    values = np.asarray(lists.to_numpy(zero_copy_only=False), dtype=np.float64)  # null becomes nan
-    good = ~np.asarray(column.is_null()) & ~np.asarray(batch.column(0).is_null())
-    good[row[~np.isfinite(values)]] = False
-    width = int(sizes[good].max(initial=0))
-    out = np.zeros((len(column), width), dtype=np.int64)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    use = good[row]
-    out[row[use], place[use]] = np.clip(np.floor(values[use] * scale), -(2.0**62), 2.0**62).astype(np.int64)
-    ids = np.asarray(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    return ids[good], out[good]
-
-
-def approximate(exact: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell of each component, least and largest component of each cell by dimension)."""
-    n, width = exact.shape
-    order = np.argsort(exact, axis=0, kind="stable")
-    bounds = np.linspace(0, n, cells + 1).astype(np.int64)
-    by_rank = np.searchsorted(bounds, np.arange(n), side="right") - 1
-    cell = np.empty((n, width), np.uint8)
-    np.put_along_axis(cell, order, np.broadcast_to(by_rank[:, None], (n, width)).astype(np.uint8), axis=0)
-    ranked = np.take_along_axis(exact, order, axis=0)
-    low, high = np.zeros((cells, width), np.int64), np.zeros((cells, width), np.int64)
-    for c in range(cells):
-        if bounds[c] < bounds[c + 1]:
-            low[c], high[c] = ranked[bounds[c]], ranked[bounds[c + 1] - 1]
-    return cell, low, high
-
-
-def _blocks(scale: int, rows: int, approximations: bool):
-    def block(part: int, number: int, ids: np.ndarray, exact: np.ndarray) -> pa.RecordBatch:
-        cell, low, high = approximate(exact) if approximations else (np.empty(0, np.uint8),) * 3
-        blobs = [x.tobytes() for x in (ids, exact, cell, low, high)]
-        arrays = [pa.array([part << 32 | number], pa.int64()), pa.array([exact.shape[1]], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)]
-        return pa.RecordBatch.from_arrays(arrays, names=["block", "width", "ids", "exact", "cell", "low", "high"])
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids, exact = vectors(batch, scale)
-            for at in range(0, len(ids), rows):
-                yield block(part, number, ids[at : at + rows], exact[at : at + rows])
-                number += 1
+def approximate(exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell of each component, least component and cell width by dimension)."""
+    low = exact.min(axis=0).astype(np.float64)
+    width = np.maximum((exact.max(axis=0).astype(np.float64) - low + 1) / CELLS, np.abs(low) * 1e-12 + 1e-9)
+    return np.clip((exact - low) // width, 0, CELLS - 1).astype(np.uint8), low, width
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, id, v) -> blocks of cells."""
+    names = ["rows", "ids", "cells", "low", "width"]
+    for batch in batches:
+        for at in range(0, len(batch), BLOCK_ROWS):
+            some = batch.slice(at, BLOCK_ROWS)
+            ids, rows = (some.column(c).to_numpy(zero_copy_only=False) for c in (1, 0))
+            blobs = [x.tobytes() for x in (rows, ids, *approximate(matrix(some.column(2))))]
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], names=names)
+
+
+BLOCKS = "rows binary, ids binary, cells binary, low binary, width binary"
+
+
+def _asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, v) -> blocks of queries: ids and integers of as few bytes as hold them."""
+    for batch in batches:
+        for at in range(0, len(batch), QUERY_ROWS):
+            some = batch.slice(at, QUERY_ROWS)
+            exact = matrix(some.column(1))
+            small = exact.astype(np.min_scalar_type(-int(np.abs(exact).max(initial=1)) - 1))
+            blobs = [some.column(0).to_numpy(zero_copy_only=False).tobytes(), small.tobytes()]
+            arrays = [*(pa.array([b], pa.binary()) for b in blobs), pa.array([exact.shape[1]], pa.int32()), pa.array([small.dtype.str])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["asked", "wanted", "dims", "kind"])
+
+
+# the scan ------------------------------------------------------------------------------------
+
+
+def bounds(asked: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores of the cells' middles, queries by vectors; how far a true score may lie from them, by query)."""
+    dims = min(asked.shape[1], cells.shape[1])
+    q, low, width = asked[:, :dims].astype(np.float64), low[:dims], width[:dims]
+    middle = (q * width) @ (cells[:, :dims].astype(np.float64) + 0.5).T
+    middle += (q @ low)[:, None]
+    # half a cell, and what rounding may have moved
+    largest = np.abs(low) + CELLS * width
+    return middle, np.abs(q) @ (width / 2 + largest * 1e-12 * (dims + 4)) + 1e-6
 
-    return run
 
+class Candidates:
+    """Vectors that may be among the k best of each query, by bounds alone."""
 
-BLOCKS = "block bigint, width int, ids binary, exact binary, cell binary, low binary, high binary"
-
-
-def upper_bounds(asked: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Queries by vectors: no score is larger."""
-    dims = np.arange(cell.shape[1])
-    best = np.maximum(asked, 0).astype(np.float64) @ high[cell, dims].astype(np.float64).T
-    best += np.minimum(asked, 0).astype(np.float64) @ low[cell, dims].astype(np.float64).T
-    reach = float(np.abs(asked).max(initial=0)) * max(float(np.abs(low).max(initial=0)), float(np.abs(high).max(initial=0))) * cell.shape[1]
-    return best if reach < EXACT else np.full_like(best, np.inf)  # where doubles aren't exact, all is read
-
-
-def _fit(x: np.ndarray, width: int) -> np.ndarray:
-    return x if x.shape[1] == width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
-
-
-class Best:
-    """The k best (score, id) of each query so far; ties go to the smaller id."""
-
-    def __init__(self, ids: np.ndarray, exact: np.ndarray, k: int):
-        self.ids, self.exact, self.k = ids, exact, k
-        self.found: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id)
-
-    def scan(self, ids: np.ndarray, exact: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray) -> int:
-        """Takes in a block; gives how many exact vectors were read."""
-        width = max(exact.shape[1], self.exact.shape[1])
-        asked, exact = _fit(self.exact, width), _fit(exact, width)
-        bounds = upper_bounds(asked[:, : cell.shape[1]], cell, low, high)
-        read = 0
-        for q, own in enumerate(self.ids.tolist()):
-            bound, best = bounds[q], self.found[q]
-            worst = -best[-1][0] if len(best) == self.k else None
-            # an equal bound may still win by its id
-            left = np.arange(len(ids)) if worst is None else np.flatnonzero(bound >= worst)
-            left = left[ids[left] != own]
-            if len(left) > 64:
-                left = left[np.argsort(-bound[left], kind="stable")]
-            at, step = 0, 32
-            while at < len(left):
-                if len(best) == self.k and len(left) > 64 and bound[left[at]] < -best[-1][0]:
-                    break
-                part = left[at : at + step]
-                scores = exact[part] @ asked[q]
-                best = sorted([*best, *zip((-scores).tolist(), ids[part].tolist(), strict=True)])[: self.k]
-                read += len(part)
-                at, step = at + step, step * 2
-            self.found[q] = best
-        return read
-
-
-def _search(k: int):
-    def rows(best: Best) -> pa.RecordBatch:
-        flat = [(q, i, -s) for q, found in zip(best.ids.tolist(), best.found, strict=True) for s, i in found]
-        columns = list(zip(*flat, strict=True)) if flat else [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+    def __init__(self, ids: np.ndarray, asked: np.ndarray, k: int):
+        self.ids, self.asked, self.k = ids, asked, k
+        self.least = np.full((len(ids), k), -np.inf)  # the largest lower bounds so far
+        self.found: list[tuple[np.ndarray, ...]] = []
+
+    def scan(self, rows: np.ndarray, ids: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
+        middle, reach = bounds(self.asked, cells, low, width)
+        own = np.flatnonzero(np.isin(self.ids, ids))
+        for q in own.tolist():
+            middle[q, ids == self.ids[q]] = -np.inf
+        k = min(self.k, len(ids))
+        best = np.partition(middle, len(ids) - k, axis=1)[:, len(ids) - k :] - reach[:, None]
+        self.least = np.sort(np.concatenate([self.least, best], axis=1), axis=1)[:, -self.k :]
+        q, at = np.nonzero(middle + reach[:, None] >= self.least[:, :1])
+        use = np.isfinite(middle[q, at])
+        q, at = q[use], at[use]
+        self.found.append((q, rows[at], middle[q, at] + reach[q], middle[q, at] - reach[q]))
+
+    def left(self) -> tuple[np.ndarray, ...]:
+        """(query, row, upper, lower) of those that the bounds of later blocks left over."""
+        q, rows, upper, lower = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        use = upper >= self.least[q, 0]
+        return self.ids[q[use]], rows[use], upper[use], lower[use]
+
+
+FOUND = "query_id bigint, row bigint, upper double, lower double"
+
+
+def _scan(k: int):
+    def left(part: list[tuple[np.ndarray, ...]], r: dict) -> pa.RecordBatch:
+        ids = np.frombuffer(r["asked"], np.int64)
+        best = Candidates(ids, np.frombuffer(r["wanted"], r["kind"]).reshape(len(ids), r["dims"]), k)
+        for block in part:
+            best.scan(*block)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in best.left()], names=["query_id", "row", "upper", "lower"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, key = None, None
+        """Rows sorted by part, the blocks of cells before the queries that pass by."""
+        at, held = None, []
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["asked"] != key:
-                    if best is not None:
-                        yield rows(best)
-                    asked = np.frombuffer(r["q_exact"], np.int64).reshape(-1, r["q_width"]) if r["q_width"] else np.zeros((len(r["q_ids"]) // 8, 0), np.int64)
-                    best, key = Best(np.frombuffer(r["q_ids"], np.int64), asked, k), r["asked"]
-                ids, width = np.frombuffer(r["ids"], np.int64), r["width"]
-                shape = (len(ids), width)
-                best.scan(
-                    ids,
-                    np.frombuffer(r["exact"], np.int64).reshape(shape),
-                    np.frombuffer(r["cell"], np.uint8).reshape(shape),
-                    np.frombuffer(r["low"], np.int64).reshape(CELLS, width),
-                    np.frombuffer(r["high"], np.int64).reshape(CELLS, width),
-                )
-        if best is not None:
-            yield rows(best)
+            for i in range(len(batch)):
+                r = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
+                if r["part"] != at:
+                    at, held = r["part"], []
+                if r["asked"] is not None:
+                    if held:
+                        yield left(held, r)
+                    continue
+                rows, ids, low, width = (np.frombuffer(r[c], d) for c, d in (("rows", np.int64), ("ids", np.int64), ("low", np.float64), ("width", np.float64)))
+                held.append((rows, ids, np.frombuffer(r["cells"], np.uint8).reshape(len(ids), len(low)), low, width))
 
     return run
 
 
+def scan(numbered: DataFrame, asking: DataFrame, k: int) -> DataFrame:
+    """(query_id, row, upper, lower): candidates of each query by the approximation file."""
+    blocks = materialize(numbered.select("row", "id", "v").mapInArrow(tidy(_blocks), BLOCKS), "va-cells")
+    wanted = materialize(asking.mapInArrow(tidy(_asking), "asked binary, wanted binary, dims int, kind string"), "va-queries")
+    rows = numbered.count()
+    # smaller parts where there are fewer than tasks
+    n = max(1, math.ceil(rows / PART_ROWS), min(math.ceil(rows / BLOCK_ROWS), numbered.sparkSession.sparkContext.defaultParallelism))
+    own = blocks.select(F.pmod(F.xxhash64("rows"), F.lit(n)).cast("int").alias("part"), "*")
+    guests = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), "*")
+    both = own.unionByName(guests, allowMissingColumns=True)
+    # nulls first: what has no query is a block of cells
+    met = both.repartition(n, "part").sortWithinPartitions("part", F.col("asked").isNotNull())
+    return met.mapInArrow(tidy(_scan(k)), FOUND)
+
+
+# exact scores --------------------------------------------------------------------------------
+
+
+def score(a: Column, b: Column) -> Column:
+    """Inner product of two arrays of integers; an error where it might not fit 64 bits."""
+    most = lambda v: F.coalesce(F.array_max(F.transform(v, lambda x: F.abs(x))), F.lit(0)).cast("double")
+    fits = most(a) * most(b) * F.least(F.size(a), F.size(b)) < 2.0**63
+    # of arrays of unlike lengths the rest is null
+    product = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return F.when(fits, product).otherwise(F.raise_error(F.lit("components are too large for 64-bit scores")))
+
+
+def _best(rows: DataFrame, by: list, n: int, name: str = "rank") -> DataFrame:
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).filter(F.col(name) <= n)
+
+
+def read(found: DataFrame, numbered: DataFrame, asking: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score) of candidates, from the exact file."""
+    exact = found.select("query_id", "row").join(numbered.select("row", F.col("id").alias("vec_id"), "v"), "row")
+    wanted = asking.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return exact.join(wanted, "query_id").select("query_id", "vec_id", score(F.col("q"), F.col("v")).alias("score"))
+
+
 def search(df: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best others of each row whose id is divisible by `every`."""
-    with_workers(df.sparkSession)
-    slim = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    stored = materialize(slim.mapInArrow(tidy(_blocks(scale, BLOCK_ROWS, True)), BLOCKS), "va-blocks")
-    clean = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    asking = slim.filter((F.col("id") % every == 0) & clean).groupBy("id").agg(F.min("v").alias("v"))
-    queries = materialize(asking.mapInArrow(tidy(_blocks(scale, QUERY_ROWS, False)), BLOCKS), "va-queries")
-    salts = max(1, min(SALTS, stored.count()))
-    asked = queries.select(
-        F.col("block").alias("asked"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-    )
-    salted = stored.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
-    # the stated query set against all rows, in blocks: each salt meets every query block
-    met = salted.hint("merge").join(asked.hint("merge"), "salt").sortWithinPartitions("asked", "salt")
-    found = met.mapInArrow(tidy(_search(k)), "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = df.sparkSession
+    with_workers(spark)
+    schema = "query_id bigint, rank int, vec_id bigint, score bigint"
+    with scratch(spark):
+        numbered = materialize(integers(df, id_col, vector, scale).withColumn("row", F.monotonically_increasing_id()), "va-exact")
+        asking = materialize(numbered.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), "va-asking")
+        found = materialize(scan(numbered, asking, k), "va-found")
+        # over all parts: the k-th largest lower bound
+        floor = _best(found, [F.desc("lower")], k).groupBy("query_id").agg(F.min("lower").alias("floor"), F.count(F.lit(1)).alias("n"))
+        left = found.join(floor, "query_id").filter((F.col("n") < k) | (F.col("upper") >= F.col("floor")))
+        left = materialize(left.withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "row"))).drop("floor", "n"), "va-left")
+        first = materialize(read(left.filter(F.col("turn") <= k), numbered, asking), "va-first")
+        sure = first.groupBy("query_id").agg(F.min("score").alias("sure"))
+        # an upper bound that equals the k-th score may still win by its id
+        rest = left.filter(F.col("turn") > k).join(sure, "query_id").filter(F.col("upper") >= F.col("sure"))
+        scored = first.unionByName(read(rest, numbered, asking))
+        path = result(_best(scored, [F.desc("score"), "vec_id"], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "va-results")
+    return spark.read.schema(schema).parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -241,17 +241,58 @@ def test_va_search_edges(spark):
     assert va_search.search(df.limit(0)).collect() == []
 
 
-def test_va_search_reads_few():
+def test_va_search_reads_few(spark, monkeypatch):
+    """Exact vectors are read for few of the pairs, and those are enough."""
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 16))
-    exact = (256 * (centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) / 8)).astype(np.int64)
-    best = va_search.Best(np.arange(10), exact[:10], 5)
-    read = best.scan(np.arange(4000), exact, *va_search.approximate(exact))
-    scores = exact[:10] @ exact.T
-    for q in range(10):
+    vectors = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) / 8
+    exact = np.floor(256 * vectors).astype(np.int64)
+    counts, read = [], va_search.read
+    monkeypatch.setattr(va_search, "read", lambda found, *rest: counts.append(found.count()) or read(found, *rest))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in va_search.search(df.repartition(3), every=400).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], -r["score"], r["vec_id"]))
+    scores = exact @ exact.T
+    assert set(found) == set(range(0, 4000, 400))
+    for q, got in found.items():
         want = sorted((-s, i) for i, s in enumerate(scores[q].tolist()) if i != q)[:5]
-        assert best.found[q] == want
-    assert read < 10 * 4000 / 4
+        assert [x[1:] for x in sorted(got)] == want
+    assert len(counts) == 2
+    assert sum(counts) < 10 * 4000 / 100
+
+
+def test_va_bounds_hold():
+    rng = np.random.default_rng(3)
+    for scale, dims in ((1, 1), (300, 8), (10**6, 3), (10**12, 5), (2**62, 2)):
+        exact = (rng.normal(size=(500, dims)) * scale).clip(-(2.0**62), 2.0**62).astype(np.int64)
+        asked = exact[:20]
+        middle, reach = va_search.bounds(asked, *va_search.approximate(exact))
+        for q in range(len(asked)):
+            for v in range(len(exact)):
+                true = sum(int(a) * int(b) for a, b in zip(asked[q], exact[v], strict=True))
+                assert middle[q, v] - reach[q] <= true <= middle[q, v] + reach[q]
+
+
+def test_va_search_parts_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(size=(700, 4)), 1)  # many ties
+    exact = np.floor(256 * vectors).astype(np.int64)
+    for name, n in (("PART_ROWS", 50), ("BLOCK_ROWS", 16), ("QUERY_ROWS", 3)):
+        monkeypatch.setattr(va_search, name, n)
+    df = spark.createDataFrame([(i, v, 1, 1, 1, "x") for i, v in enumerate(vectors.tolist())], "vec_id bigint, embedding array<double>, id int, v int, row int, rows string")
+    got = sorted(tuple(r) for r in va_search.search(df, k=7, every=35).collect())
+    want = []
+    for q in range(0, 700, 35):
+        best = sorted((-s, i) for i, s in enumerate((exact[q] @ exact.T).tolist()) if i != q)[:7]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+def test_va_search_of_scores_beyond_64_bits(spark):
+    df = spark.createDataFrame([(0, [1e9, 2.0]), (50, [1e9, 1e9]), (1, [3.0, 4.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="too large for 64-bit scores"):
+        va_search.search(df).collect()
 
 
 def test_tokens_agree_with_the_library():
