@@ -7,13 +7,17 @@ A document is its lines, split at newlines. Two kinds of units are compared:
   part of it has them: a long line, two lines that are long together, and so on.
 
 Winnowing picks the line with the smallest hash of each unit (the rightmost
-of equal ones) as its fingerprint; a long line is its own. Two equal units
-have the same fingerprint at the same offset, so a repeated run of `window`
-lines or more, or one of `long_words` words or more, always shares a fingerprint
-with its earlier copy. Positions join on the fingerprint and the unit's content to
-the unit's first position in the corpus (by doc_id, then content, then line), and the
-match is extended both ways while the lines agree. Every line in a match whose
-first position is earlier goes.
+of equal ones) as its fingerprint; a long line is its own. Two equal units have
+the same fingerprint at the same offset, so both pick a position with that line: a repeated run of
+`window` lines or more, or one of `long_words` words or more, always shares a fingerprint
+with its earlier copy. Neighbouring units mostly pick the same line, so there
+are fewer positions than units.
+
+Positions are joined on the fingerprint alone, and only those whose fingerprint stands at
+several of them go on; on real text that leaves a small part of the units.
+These are matched by all of their lines with the unit's first position in the corpus (by doc_id,
+then content, then line), and the match is extended both ways while the lines agree. Every line in
+a match whose first position is earlier goes.
 
 The result is the union of all such matches. An extension of window - 1 lines
 on each side is all that is needed: a longer agreement holds whole windows that
@@ -22,7 +26,7 @@ are units with an earlier position themselves.
 Units are compared by two independent 64-bit hashes, lines beside a match by one. Rows: a null or empty text
 has no lines and stays as it is; rows equal in doc_id and text are one document
 and get the same result; a null doc_id comes first in the order. Other columns
-pass through, whatever their names.
+pass through, whatever their names. A very long text is one row of line hashes; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -45,60 +49,91 @@ def _n_words(line: Column) -> Column:
     return F.when(F.octet_length(trimmed) == 0, 0).otherwise(F.size(F.split(trimmed, r"[ \t-\r]+")))
 
 
-def _hashed(docs: DataFrame, text: str, id_col: str, long_words: int) -> DataFrame:
-    """(_id, _hash, _lines): one row for each distinct document, its lines as hashes and words (long_words for all that are long)."""
+def _hashed(docs: DataFrame, text: str, id_col: str, window: int, long_words: int) -> DataFrame:
+    """One row for each distinct document: _doc (a number), _id, _hash, its lines as hashes and words (long_words for all that
+    are long), and for each window the position of its fingerprint."""
     with_lines = docs.filter(F.octet_length(text) > 0).select(
         F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), F.split(F.col(text), "\n", -1).alias("_split")
     )
     words = lambda x: F.least(_n_words(x), F.lit(long_words))
-    return with_lines.select("_id", "_hash", F.transform("_split", lambda x: F.struct(_hash(x).alias("h"), words(x).alias("words"))).alias("_lines"))
+    lines = F.transform("_split", lambda x: F.struct(_hash(x).alias("h"), words(x).alias("words")))
+    # of equal hashes the rightmost is the smallest
+    ranked = F.transform("_lines", lambda x, i: F.struct(x["h"].alias("h"), (-i).alias("back")))
+    hashed = with_lines.select("_id", "_hash", lines.alias("_lines")).distinct().withColumn("_ranked", ranked)
+    picked = F.transform(_starts(F.size("_lines"), window), lambda i: -F.array_min(F.slice("_ranked", i + 1, window))["back"])
+    return hashed.select(F.monotonically_increasing_id().alias("_doc"), "_id", "_hash", "_lines", picked.alias("_picked"))
+
+
+def _starts(n: Column, length: int) -> Column:
+    return F.when(n >= length, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
+
+
+class _Lines:
+    """Expressions over a row of _hashed."""
+
+    def __init__(self, window: int, long_words: int):
+        self.window, self.long_words = window, long_words
+        self.lines, self.n = F.col("_lines"), F.size("_lines")
+
+    def at(self, i: Column) -> Column:
+        return F.element_at(self.lines, (i + 1).cast("int"))
+
+    def is_long(self, start: Column, length: int) -> Column:
+        return sum((self.at(start + i)["words"] for i in range(length)), F.lit(0)) >= self.long_words
+
+    def least_long(self, length: int) -> Column:
+        """Starts of the runs of so many lines that are long together, and of which no part is."""
+        if length == 1:
+            return F.filter(_starts(self.n, 1), lambda i: self.is_long(i, 1))
+        return F.filter(_starts(self.n, length), lambda i: self.is_long(i, length) & ~self.is_long(i, length - 1) & ~self.is_long(i + 1, length - 1))
+
+    def pick(self, start: Column, length: int) -> Column:
+        """Position of the fingerprint of a run."""
+        ranked = F.transform(F.slice(self.lines, start + 1, length), lambda x, i: F.struct(x["h"].alias("h"), (-i).alias("back")))
+        return start - F.array_min(ranked)["back"]
+
+    def shorter(self) -> list[int]:
+        return list(range(1, self.window))
+
+    def positions(self) -> Column:
+        """Each position that a unit picks, once, with its line's hash."""
+
+        def picks(length: int) -> Column:
+            return F.transform(self.least_long(length), lambda i: self.pick(i, length))
+
+        return F.transform(F.array_distinct(F.concat("_picked", *map(picks, self.shorter()))), lambda p: F.struct(p.alias("pos"), self.at(p)["h"]["a"].alias("fingerprint")))
+
+    def units(self, among: Column) -> Column:
+        """(start, length, content) of the units that pick one of the positions."""
+
+        def unit(start: Column, length: int) -> Column:
+            part = F.transform(F.slice(self.lines, start + 1, length), lambda x: x["h"])
+            content = F.struct(F.xxhash64(part).alias("a"), F.xxhash64(F.lit(SECOND_SEED), part).alias("b"))
+            return F.struct(start.alias("start"), F.lit(length).alias("length"), content.alias("content"))
+
+        def runs(length: int) -> Column:
+            picked = F.filter(self.least_long(length), lambda i: F.array_contains(among, self.pick(i, length)))
+            return F.transform(picked, lambda i: unit(i, length))
+
+        windows = F.filter(_starts(self.n, self.window), lambda i: F.array_contains(among, F.element_at("_picked", i + 1)))
+        return F.concat(F.transform(windows, lambda i: unit(i, self.window)), *map(runs, self.shorter()))
 
 
 def _units(hashed: DataFrame, window: int, long_words: int) -> DataFrame:
-    """One row for each unit: its key, its place and the hashes around it."""
-    n, lines = F.size("_lines"), F.col("_lines")
-    at = lambda i: F.element_at(lines, (i + 1).cast("int"))
-
-    def run_unit(start: Column, length: int) -> Column:
-        part = F.transform(F.slice(lines, start + 1, length), lambda x: x["h"])
-        # smallest hash of the run, the rightmost of equal ones
-        best = F.array_min(F.transform(part, lambda h, i: F.struct(h.alias("h"), (-i).alias("back"))))
-        offset = -best["back"]
-        return F.struct(
-            best["h"]["a"].alias("fingerprint"), offset.alias("offset"),
-            F.struct(F.xxhash64(part).alias("a"), F.xxhash64(F.lit(SECOND_SEED), part).alias("b")).alias("content"),
-            start.alias("start"), F.lit(length).alias("length"),
-        )
-
-    def long_unit(pos: Column) -> Column:
-        h = at(pos)["h"]
-        return F.struct(h["a"].alias("fingerprint"), F.lit(0).alias("offset"), h.alias("content"), pos.alias("start"), F.lit(1).alias("length"))
-
-    def is_long(start: Column, length: int) -> Column:
-        return sum((at(start + i)["words"] for i in range(length)), F.lit(0)) >= long_words
-
-    def least_long(start: Column, length: int) -> Column:
-        return is_long(start, length) & ~is_long(start, length - 1) & ~is_long(start + 1, length - 1)
-
-    def starts(length: int) -> Column:
-        return F.when(n >= length, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
-
-    def short_runs(length: int) -> Column:
-        return F.transform(F.filter(starts(length), lambda i: least_long(i, length)), lambda i: run_unit(i, length))
-
-    parts = [F.transform(starts(window), lambda i: run_unit(i, window)), *map(short_runs, range(2, window))]
-    if window > 1:
-        parts.append(F.transform(F.filter(starts(1), lambda i: is_long(i, 1)), long_unit))
-    units = F.concat(*parts)
-    exploded = hashed.select("_id", "_hash", "_lines", F.explode(units).alias("u"))
+    """One row for each unit whose fingerprint stands at several positions: its content, its place and the hashes around it."""
+    doc = _Lines(window, long_words)
+    positions = hashed.select("_doc", F.explode(doc.positions()).alias("p")).select("_doc", "p.*")
+    several = positions.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint")
+    met = positions.join(several, "fingerprint").groupBy("_doc").agg(F.collect_list("pos").alias("_met"))
+    exploded = hashed.join(met, "_doc").select("_id", "_hash", "_lines", F.explode(doc.units(F.col("_met"))).alias("u"))
     side = window - 1
     first = F.greatest(F.lit(0), F.col("u.start") - side)
     last = F.col("u.start") + F.col("u.length")  # first line after the unit
     return exploded.select(
-        "_id", "_hash", "u.fingerprint", "u.offset", "u.content", "u.length", "u.start",
+        "_id", "_hash", "u.content", "u.length", "u.start",
         # nearest first on both sides
-        F.reverse(F.transform(F.slice(lines, first + 1, F.col("u.start") - first), lambda x: x["h"]["a"])).alias("before"),
-        F.transform(F.slice(lines, last + 1, side), lambda x: x["h"]["a"]).alias("after"),
+        F.reverse(F.transform(F.slice("_lines", first + 1, F.col("u.start") - first), lambda x: x["h"]["a"])).alias("before"),
+        F.transform(F.slice("_lines", last + 1, side), lambda x: x["h"]["a"]).alias("after"),
     )
 
 
@@ -112,20 +147,24 @@ def _agreeing(a: Column, b: Column) -> Column:
 
 def repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """(_id, _hash, _cut): documents that hold later runs, and the lines in them (sorted, from 0)."""
-    from linesets.llm._common import discard, materialize
-
-    hashed = materialize(_hashed(docs, text, id_col, long_words).distinct(), "line-hashes")
-    units = _units(hashed, window, long_words)
-    key = ["fingerprint", "offset", "content", "length"]
-    # the first position of each key, combined before the shuffle: a key with a third of the rows is one row a task
-    place = F.struct(F.col("_id"), F.col("_hash"), F.col("start"))
-    firsts = units.groupBy(*key).agg(F.min(F.struct(place.alias("place"), "before", "after")).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = firsts.filter("n > 1").drop("n")
-    later = units.join(firsts, key).filter(place > F.col("first.place"))
-    low = F.col("start") - _agreeing(F.col("before"), F.col("first.before"))
-    high = F.col("start") + F.col("length") + _agreeing(F.col("after"), F.col("first.after")) - 1
-    cut = later.select("_id", "_hash", F.explode(F.sequence(low, high)).alias("_pos"))
-    return cut.groupBy("_id", "_hash").agg(F.sort_array(F.collect_set("_pos")).alias("_cut"))
+    from linesets.llm._common import materialize, result, scratch
+
+    spark = docs.sparkSession
+    with scratch(spark):
+        hashed = materialize(_hashed(docs, text, id_col, window, long_words), "line-hashes")
+        units = materialize(_units(hashed, window, long_words), "line-units")
+        key = ["content", "length"]
+        # the first position of each unit, combined before the shuffle: one with a third of the rows is one row a task
+        place = F.struct(F.col("_id"), F.col("_hash"), F.col("start"))
+        firsts = units.groupBy(*key).agg(F.min(F.struct(place.alias("place"), "before", "after")).alias("first"), F.count(F.lit(1)).alias("n"))
+        firsts = firsts.filter("n > 1").drop("n")
+        later = units.join(firsts, key).filter(place > F.col("first.place"))
+        low = F.col("start") - _agreeing(F.col("before"), F.col("first.before"))
+        high = F.col("start") + F.col("length") + _agreeing(F.col("after"), F.col("first.after")) - 1
+        cut = later.select("_id", "_hash", F.explode(F.sequence(low, high)).alias("_pos"))
+        cuts = cut.groupBy("_id", "_hash").agg(F.sort_array(F.collect_set("_pos")).alias("_cut"))
+        path = result(cuts, "line-cuts")
+    return spark.read.schema(cuts.schema).parquet(path)
 
 
 #: Columns that dedup_lines adds; columns of these names in the input are replaced.
