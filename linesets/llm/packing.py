@@ -2,17 +2,19 @@
 
 Documents of one length are interchangeable, so packing works on the number of
 pieces of each length: at most `capacity` counts, however many documents there
-are. For the longest length left, the gap it leaves is looked up among the sums
-of one, two and three available lengths; a combination that fills the gap
+are. An index hashes the sums of one, two and three lengths. The longest length left
+opens a sequence, and the gap is looked up among the sums; a combination that fills it
 exactly is used as often as the counts allow. Where none does, the longest
-length that fits (best fit) goes in and the search goes on for the smaller gap.
+length that fits (best fit) goes in and the smaller gap is looked up.
 
 The plan says for ranges of ranks inside a length which sequences and offsets
 they take; each piece finds its place from its length and its rank, so the
 pieces never meet in one task.
 
 Null texts are empty; an empty document is its end id alone. Only documents
-longer than the capacity are cut. Rows equal in everything are packed twice.
+longer than the capacity are cut; very long ones are coded in parts. Rows equal in everything are
+packed twice; of equal lengths any may come first. An empty table gives no rows. Documents are read by
+two columns, so others may have any name; pieces keep the columns they come with.
 """
 
 from __future__ import annotations
@@ -29,65 +31,93 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linesets.llm import _text, _tokens
-from linesets.llm._common import table, tidy, with_workers
+from linesets.llm._common import result, scratch, table, tidy, with_workers
 from linesets.llm._slots import with_slots
 
 CAPACITY = 4096
 END_ID = 1
 
 
-class LengthIndex:
-    """Available lengths as bits; sums of one, two and three of them by shifts of the mirrored bits."""
+class SumIndex:
+    """Lengths with how many of each are left, and by their sum the pairs and triples of lengths, hashed.
+
+    A bucket is made when its sum is first asked for: the largest length of every pair (or
+    triple) with that sum, the largest last. Lengths only run out, so a combination that
+    lacks one leaves its bucket for good; one that merely has a length in the sequence that is
+    being filled is passed over.
+    """
 
     def __init__(self, counts: Mapping[int, int], capacity: int):
-        self.capacity = capacity
-        self.left = {n: c for n, c in counts.items() if c > 0}
-        self.bits = sum(1 << n for n in self.left)
-        self.mirror = sum(1 << (capacity - n) for n in self.left)
-
-    def take(self, length: int, count: int = 1) -> None:
-        self.left[length] -= count
-        if not self.left[length]:
-            self.bits &= ~(1 << length)
-            self.mirror &= ~(1 << (self.capacity - length))
-
-    def put(self, length: int, count: int = 1) -> None:
-        self.left[length] += count
-        self.bits |= 1 << length
-        self.mirror |= 1 << (self.capacity - length)
+        self.left = [0] * (capacity + 1)
+        for n, c in counts.items():
+            self.left[n] = c
+        self.free = list(self.left)  # without the sequence that is being filled
+        self.lengths = np.array(sorted(n for n, c in counts.items() if c > 0), np.int64)
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def take(self, lengths: tuple[int, ...]) -> None:
+        for n in lengths:
+            self.free[n] -= 1
+
+    def use(self, chosen: Mapping[int, int], times: int) -> None:
+        """So many sequences of what was taken."""
+        for n, c in chosen.items():
+            self.left[n] -= c * times
+            self.free[n] = self.left[n]
+        gone = [n for n in chosen if not self.left[n]]
+        if gone:
+            self.lengths = self.lengths[~np.isin(self.lengths, gone)]
 
     def longest(self, most: int) -> int:
-        """Longest available length up to most; 0 if there is none."""
-        return max(0, (self.bits & ((2 << most) - 1)).bit_length() - 1)
-
-    def pair(self, total: int) -> tuple[int, int] | None:
-        """The two available lengths of this sum that lie farthest apart."""
-        halves = self.bits & (self.mirror >> (self.capacity - total)) & ((1 << total) - 1)
-        while halves > 1:
-            a = halves.bit_length() - 1
-            if a > 0 and a != total - a or self.left.get(a, 0) > 1:
-                return a, total - a
-            halves &= ~(1 << a)
+        """Longest free length up to most; 0 if there is none."""
+        for i in range(int(np.searchsorted(self.lengths, most, side="right")) - 1, -1, -1):
+            if self.free[self.lengths[i]] > 0:
+                return int(self.lengths[i])
+        return 0
+
+    def _pairs(self, total: int) -> list[int]:
+        """Larger lengths of the pairs with this sum that are left."""
+        bucket = self.pairs.get(total)
+        if bucket is None:
+            larger = self.lengths[(2 * self.lengths >= total) & (self.lengths < total)]
+            bucket = self.pairs[total] = larger[np.isin(total - larger, self.lengths)].tolist()
+        return bucket
+
+    def _left(self, a: int, b: int) -> bool:
+        return self.left[a] > (a == b) and self.left[b] > 0
+
+    def pair(self, total: int, beside: int = 0) -> tuple[int, int] | None:
+        """The two free lengths of this sum that lie farthest apart, with one more beside them."""
+        bucket, free, gone, found = self._pairs(total), self.free, 0, None
+        for a in reversed(bucket):
+            b = total - a
+            if free[a] > (a == b) + (a == beside) and free[b] > (a == b) + (b == beside):
+                found = a, b
+                break
+            gone += not self._left(a, b)
+        if gone:
+            bucket[:] = [a for a in bucket if self._left(a, total - a)]
+        return found
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """Three free lengths of this sum, the largest as large as can be."""
+        bucket = self.triples.get(total)
+        if bucket is None:
+            bucket = self.triples[total] = self.lengths[(3 * self.lengths >= total) & (self.lengths < total - 1)].tolist()
+        while bucket:
+            a = bucket[-1]
+            if self.left[a] and self._pairs(total - a):
+                break
+            bucket.pop()
+        for a in reversed(bucket):
+            if self.free[a] > 0 and (two := self.pair(total - a, a)):
+                return a, *two
         return None
 
     def exact(self, gap: int) -> tuple[int, ...] | None:
-        """One, two or three available lengths that sum to the gap."""
-        if self.bits >> gap & 1:
-            return (gap,)
-        if (two := self.pair(gap)) is not None:
-            return two
-        candidates = self.bits & ((1 << max(gap - 1, 0)) - 1)
-        while candidates > 1:
-            a = candidates.bit_length() - 1
-            if 3 * a < gap:
-                return None
-            self.take(a)
-            two = self.pair(gap - a)
-            self.put(a)
-            if two is not None:
-                return a, *two
-            candidates &= ~(1 << a)
-        return None
+        """One, two or three free lengths that sum to the gap."""
+        return (gap,) if self.free[gap] > 0 else self.pair(gap) or self.triple(gap)
 
 
 def patterns(counts: Mapping[int, int], capacity: int = CAPACITY) -> Iterator[tuple[dict[int, int], int]]:
@@ -96,25 +126,23 @@ def patterns(counts: Mapping[int, int], capacity: int = CAPACITY) -> Iterator[tu
     Each pattern uses up at least one length to below its count in it, so the
     number of patterns is bounded by the capacity, not by the pieces.
     """
-    index = LengthIndex(counts, capacity)
-    while index.bits:
-        first = index.longest(capacity)
-        chosen = Counter([first])
-        index.take(first)
-        gap = capacity - first
-        while gap and (best := index.longest(gap)):
-            filling = index.exact(gap)
+    index = SumIndex(counts, capacity)
+    while len(index.lengths):
+        chosen: Counter = Counter()
+        gap = capacity
+        while gap:
+            # the longest comes first
+            filling = index.exact(gap) if chosen else None
             if filling is None:
+                best = index.longest(gap)
+                if not best:
+                    break
                 filling = (best,)
-            for n in filling:
-                index.take(n)
-                chosen[n] += 1
+            index.take(filling)
+            chosen.update(filling)
             gap -= sum(filling)
-        for n, c in chosen.items():
-            index.put(n, c)
         times = min(index.left[n] // c for n, c in chosen.items())
-        for n, c in chosen.items():
-            index.take(n, c * times)
+        index.use(chosen, times)
         yield dict(chosen), times
 
 
@@ -199,11 +227,14 @@ def _placed(how: Plan):
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut (with a long column length of 1 to capacity) with sequence_id and offset."""
-    ranked = with_slots(cut, "length", "_rank")
-    # one row for each length: at most `capacity`
-    counts = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    spark = cut.sparkSession
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*cut.columns, "_rank").mapInArrow(tidy(_placed(plan(counts, capacity))), schema)
+    with scratch(spark):
+        ranked = with_slots(cut, "length", "_rank")
+        # one row for each length: at most `capacity`
+        counts = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+        path = result(ranked.select(*cut.columns, "_rank").mapInArrow(tidy(_placed(plan(counts, capacity))), schema), "packed")
+    return spark.read.schema(schema).parquet(path)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
