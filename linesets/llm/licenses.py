@@ -3,23 +3,25 @@
 Texts are lower-cased (A-Z) and become streams of words (ASCII letters and
 digits, and all of non-ASCII) with single blanks between. One automaton finds
 every notice phrase and the identifier tag in the stream; a phrase starts and
-ends at word borders because it carries the blanks around it. After a tag the
-raw text holds an expression, which a shunting-yard parser turns to postfix and
-evaluates: `and` asks for all terms (the strictest rules), `or` leaves the choice
+ends at word borders because it carries the blanks around it. A tag's place in the stream
+leads back to its place in the text, where, if its words are joined by hyphens and a colon follows,
+there is an expression, which a shunting-yard parser turns to postfix and evaluates: `and` asks for all terms (the strictest rules), `or` leaves the choice
 (the mildest), and `with` grants an exception, which softens a copyleft license.
 
 Labels: those of phrases, plus spdx:<id> for each license of an expression and
 terms:<level> for what it evaluates to. The score is the chance that at least one
 finding is right, from a weight for each kind.
 
-Null and empty texts have no words and no labels. Texts are scanned whole, row
-by row; repeated rows and other columns make no difference.
+Null and empty texts have no words and no labels. Texts are scanned whole, however long, row
+by row; repeated rows and other columns make no difference. An empty table gives no rows. Each
+place of a phrase counts, so there are no ties to break.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +53,7 @@ NOTICES = {
     "this is free and unencumbered software": "unlicense",
 }
 TAG = "spdx license identifier"
-TAG_TEXT = re.compile(rb"spdx-license-identifier[ \t]*:[ \t]*", re.IGNORECASE)
+TAG_TEXT, AFTER_TAG = b"spdx-license-identifier", re.compile(rb"[ \t]*:[ \t]*")
 TOKEN = re.compile(rb"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 
 # How strict a license is: 0 public domain, 1 permissive, 2 weak copyleft, 3 copyleft, 4 network copyleft.
@@ -130,18 +132,23 @@ def evaluate(expression: list[str]) -> tuple[set[str], int] | None:
     return stack[0][:2] if stack else None
 
 
+def expression(raw: bytes, end: int) -> tuple[set[str], int] | None:
+    """What the expression behind a tag that ends there evaluates to; None if the text holds no whole tag or expression."""
+    after = AFTER_TAG.match(raw, end)
+    if not after or raw[max(0, end - len(TAG_TEXT)) : end].lower() != TAG_TEXT:
+        return None
+    at, tokens = after.end(), []
+    while t := TOKEN.match(raw, at):
+        tokens.append(t[1].decode().lower())
+        at = t.end()
+    return evaluate(postfix(tokens))
+
+
 def tags(raw: bytes) -> list[tuple[set[str], int]]:
     """What the expressions behind a text's tags evaluate to."""
-    found = []
-    for m in TAG_TEXT.finditer(raw):
-        at, tokens = m.end(), []
-        while t := TOKEN.match(raw, at):
-            tokens.append(t[1].decode().lower())
-            at = t.end()
-        value = evaluate(postfix(tokens))
-        if value:
-            found.append(value)
-    return found
+    found = stream([raw])
+    ends = [end for end, (phrase, _) in automaton().iter(found.text) if phrase == TAG]
+    return [x for e in ends if (x := expression(raw, found.place(0, e))) is not None]
 
 
 WORD = np.zeros(256, dtype=bool)  # True: part of a word
@@ -149,11 +156,25 @@ WORD[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
 WORD[128:] = True
 
 
-def stream(part: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(words of all texts, where each text starts in it, words of each text).
+@dataclass
+class Stream:
+    """Words of all texts: each text is a newline, a blank, and its words with a blank after each."""
 
-    Each text is a newline, a blank, and its words with a blank after each.
-    """
+    text: str
+    heads: np.ndarray  # where each text starts
+    n_words: np.ndarray  # of each text
+    keep: np.ndarray  # which bytes of the texts, two more before and one after each, are in the stream
+    begin: np.ndarray  # where each text starts among those
+    kept: np.ndarray | None = None
+
+    def place(self, doc: int, at: int) -> int:
+        """Offset in a text of what stands in the stream."""
+        if self.kept is None:
+            self.kept = np.flatnonzero(self.keep)
+        return int(self.kept[at] - self.begin[doc]) - 2
+
+
+def stream(part: list[bytes]) -> Stream:
     raw = _text.LOWER[np.frombuffer(b"".join([b"\n " + t + b" " for t in part]), dtype=np.uint8)]
     sizes = np.fromiter((len(t) + 3 for t in part), np.int64, len(part))
     heads = np.cumsum(sizes) - sizes
@@ -165,7 +186,7 @@ def stream(part: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     out[heads] = 10
     starts = np.concatenate([[0], np.cumsum(word & ~before)])
     moved = np.cumsum(keep) - keep
-    return out[keep].tobytes(), moved[heads], starts[heads + sizes] - starts[heads]
+    return Stream(out[keep].tobytes().decode("latin-1"), moved[heads], starts[heads + sizes] - starts[heads], keep, heads)
 
 
 _automata: dict[int, object] = {}
@@ -192,24 +213,26 @@ SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_
 
 def scan(part: list[bytes]) -> list[tuple]:
     """A row of COLUMNS for each text."""
-    text, heads, n_words = stream(part)
-    shown = text.decode("latin-1")
+    found = stream(part)
+    heads, shown = found.heads, found.text
     hits: dict[int, list[tuple[str, str, int]]] = {}
     for end, (phrase, label) in automaton().iter(shown):
         at = end - len(phrase) - 1
         doc = int(np.searchsorted(heads, at, side="right")) - 1
         hits.setdefault(doc, []).append((phrase, label, at))
     rows = []
-    for doc, n in enumerate(n_words.tolist()):
+    for doc, n in enumerate(found.n_words.tolist()):
         if doc not in hits:
             rows.append((n, 0, None, None, "", "", 0.0))
             continue
         places, base, labels, wrong = [], set(), set(), 1.0
-        tagged = False
         last_at, count = int(heads[doc]) + 1, 0
         for phrase, label, at in sorted(hits[doc], key=lambda h: h[2]):
             if phrase == TAG:
-                tagged = True
+                value = expression(part[doc], found.place(doc, at + len(phrase) + 1))
+                if value is not None:
+                    labels |= {f"spdx:{x}" for x in value[0]} | {f"terms:{LEVELS[value[1]]}"}
+                    wrong *= 1 - WEIGHTS["tag"]
                 continue
             labels.add(label)
             if phrase in BASE:
@@ -218,9 +241,6 @@ def scan(part: list[bytes]) -> list[tuple]:
                 places.append(count)
                 base.add(label)
             wrong *= 1 - WEIGHTS["base" if phrase in BASE else "notice"]
-        for names, level in tags(part[doc]) if tagged else ():
-            labels |= {f"spdx:{x}" for x in names} | {f"terms:{LEVELS[level]}"}
-            wrong *= 1 - WEIGHTS["tag"]
         ends = (min(places), max(places)) if places else (None, None)
         rows.append((n, len(places), *ends, ",".join(sorted(base)), ",".join(sorted(labels)), 1 - wrong))
     return rows
