@@ -1,8 +1,8 @@
 """Document fingerprints: a Merkle tree over pieces, paragraphs and sections.
 
-A text is its paragraphs (lines); a paragraph is cut into pieces of at most
-`PIECE_WORDS` words from its start, so an edit inside a long paragraph leaves the
-pieces before it alone. Paragraphs form sections: a section ends after a
+A text is its paragraphs (lines); a paragraph is cut into pieces where its content says so:
+behind a word whose last code point is `BORDER` modulo `EVERY`, after `PIECE` code points at
+the latest, so words that are inserted or removed don't move the borders of later pieces. Paragraphs form sections: a section ends after a
 paragraph whose hash is 0 modulo `SECTION`, so that inserted paragraphs
 don't move the borders of later sections. The hash of a node covers the hashes of
 its children, and the root covers the sections and the text's length.
@@ -16,13 +16,16 @@ share of code points in pieces that both have, counted as often as both have the
 The fingerprint is a string: the root and, for each section, its paragraphs with
 their pieces as (hash, length). All of the tree can be rebuilt from it.
 
-Null texts are empty; two empty texts are equal. In the query the next document
+Null texts are empty; two empty texts are equal; an empty table gives no rows. Texts are
+read whole, however long, and only id and text are read, so others may have any name. In the query the next document
 is the one with the next smaller doc_id (null ids come last); rows with equal
 ids are taken in the order of their texts. After the last comes the first.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,21 +34,24 @@ from hashlib import sha256
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linesets.llm._common import table, tidy, with_workers
 
-PIECE_WORDS = 8
+#: A piece ends behind a word whose last code point is BORDER modulo EVERY, at most PIECE code points long.
+BORDER, EVERY, PIECE = 3, 8, 256
 SECTION = 4
 #: Bytes of text that one range of ids holds, about.
 RANGE_BYTES = 4 << 20
-MOST_RANGES = 4096
+#: From so many ranges on both their number and their size grow; a range is walked row by row, so its size needs no memory.
+WIDE = 4096
 #: Ids are counted in at most 2^16 cells; a cell with too many is counted anew in 2^4.
 CELLS, FINER_BITS = 1 << 16, 4
 
-_pieces = re.compile(r"(?:[^ ]* ){%d}" % PIECE_WORDS)
+_BORDERS = "".join(re.escape(chr(c)) for c in range(0x10000) if c % EVERY == BORDER and not 0xD800 <= c < 0xE000)
+_pieces = re.compile(f".{{0,{PIECE - 2}}}?[{_BORDERS}] |.{{1,{PIECE}}}", re.DOTALL)
 
 
 @dataclass(frozen=True)
@@ -71,12 +77,7 @@ def _join(hashes) -> int:
 
 
 def _paragraph(text: str) -> Paragraph:
-    cut, at = [], 0
-    for m in _pieces.finditer(text):
-        cut.append(m.group())
-        at = m.end()
-    if at < len(text) or not cut:
-        cut.append(text[at:])
+    cut = _pieces.findall(text) or [""]
     pieces = tuple([(xxhash.xxh64_intdigest(p.encode()), len(p)) for p in cut])
     return Paragraph(_join([h for h, _ in pieces]), pieces)
 
@@ -235,7 +236,7 @@ def range_borders(ids: DataFrame, n_ranges: int) -> list[int]:
 
     ids has doc_id without nulls. They are counted by their leading bits, combined
     before the shuffle, and cells that hold more than a range should are counted by
-    more bits, so ids may lie as unevenly as they like. At most MOST_RANGES such cells exist,
+    more bits, so ids may lie as unevenly as they like. There are fewer than n_ranges such cells,
     which bounds the counts that come to the driver.
     """
     low, high, total = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
@@ -263,6 +264,14 @@ def range_borders(ids: DataFrame, n_ranges: int) -> list[int]:
     return borders
 
 
+def borders_up_to(borders: list[int], value: Column) -> Column:
+    """How many of the sorted borders aren't above a value, by halving: as many steps as the number of borders has bits."""
+    sorted_ = F.from_json(F.lit(json.dumps(borders)), "array<bigint>")  # one literal, however many there are
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(borders).bit_length()))]).cast("array<int>")
+    passed = lambda at, step: (at + step <= len(borders)) & (F.get(sorted_, at + step - 1) <= value)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(passed(at, step), at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame, n_ranges: int) -> DataFrame:
     """(span, guest, doc_id, text): documents dealt to ranges of ids, each followed by a copy of the document after it.
 
@@ -271,8 +280,7 @@ def with_next(docs: DataFrame, n_ranges: int) -> DataFrame:
     spark = docs.sparkSession
     borders = range_borders(docs.filter("doc_id is not null").select("doc_id"), n_ranges)
     # the range of an id is the number of borders that aren't above it; null ids are below all
-    steps = F.array(*[F.lit(int(b)) for b in borders]).cast("array<bigint>")
-    spans = docs.withColumn("span", F.coalesce(F.size(F.filter(steps, lambda s: s <= F.col("doc_id"))), F.lit(0)))
+    spans = docs.withColumn("span", F.when(F.col("doc_id").isNull(), 0).otherwise(borders_up_to(borders, F.col("doc_id"))))
     # the first document of each range, of the ranges that have one, in descending order
     firsts = [(r["span"], r["id"]) for r in spans.groupBy("span").agg(F.max("doc_id").alias("id")).orderBy(F.desc("span")).collect()]
     guests = [(firsts[(i + 1) % len(firsts)], span) for i, (span, _) in enumerate(firsts)]
@@ -305,7 +313,8 @@ def compare_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ra
     with_workers(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, min(MOST_RANGES, -(-size // range_bytes)))
+    units = -(-size // range_bytes)
+    n = max(1, units if units <= WIDE else math.isqrt(WIDE * units))
     rows = with_next(slim, n).repartitionByRange(n, "span")
     return rows.sortWithinPartitions("span", "guest", F.desc_nulls_last("doc_id"), "text").mapInArrow(tidy(_walk), SCHEMA)
 
