@@ -157,8 +157,9 @@ def repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", w
         # the first position of each unit, combined before the shuffle: one with a third of the rows is one row a task
         place = F.struct(F.col("_id"), F.col("_hash"), F.col("start"))
         firsts = units.groupBy(*key).agg(F.min(F.struct(place.alias("place"), "before", "after")).alias("first"), F.count(F.lit(1)).alias("n"))
-        firsts = firsts.filter("n > 1").drop("n")
-        later = units.join(firsts, key).filter(place > F.col("first.place"))
+        # a table of its own, so that the join below can split a unit that very many documents have
+        firsts = materialize(firsts.filter("n > 1").drop("n"), "line-firsts")
+        later = units.join(firsts.hint("merge"), key).filter(place > F.col("first.place"))
         low = F.col("start") - _agreeing(F.col("before"), F.col("first.before"))
         high = F.col("start") + F.col("length") + _agreeing(F.col("after"), F.col("first.after")) - 1
         cut = later.select("_id", "_hash", F.explode(F.sequence(low, high)).alias("_pos"))
@@ -178,7 +179,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", win
     # the row travels as one column, so that no name of the input can clash
     whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
     own = docs.select(whole.alias("row"), F.col(text).alias("body"), F.col(id_col).alias("own_id"), F.xxhash64(text).alias("own_hash"))
-    joined = own.join(cuts, own["own_id"].eqNullSafe(cuts["_id"]) & (own["own_hash"] == cuts["_hash"]), "left")
+    # the texts are dealt by id at every size; a join that splits skewed ids
+    joined = own.join(cuts.hint("merge"), own["own_id"].eqNullSafe(cuts["_id"]) & (own["own_hash"] == cuts["_hash"]), "left")
     lines = F.split("body", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_cut"), i)), "\n")
     added = {
