@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linesets.functions.keys import byte_length
+from linesets.operators.order import with_ordinal
 
 
 def frequency(df: DataFrame, key: str = "line") -> DataFrame:
@@ -22,52 +21,30 @@ def frequency_order(freq: DataFrame, key: str = "line") -> DataFrame:
 def running(freq: DataFrame, key: str = "line") -> DataFrame:
     """Adds pct and cumul, in the order count descending, bytes ascending.
 
-    The running sum has two levels: a total for each count (few distinct
-    counts), summed up over counts, and a rank inside each count. Lines with one
-    count add that count each, so no window holds more than the distinct
-    counts, and the rank comes from ranges rather than one task.
+    The running sum has two levels: totals for each count (few distinct
+    counts), summed up over counts, and the ordinal of a line, from slices of the order, less
+    the lines with larger counts. Lines with one count add that count each, so no window
+    holds more than the distinct counts or one slice.
     """
-    levels = freq.groupBy("cnt").agg((F.count(F.lit(1)) * F.col("cnt")).alias("_level"))
-    over = Window.orderBy(F.col("cnt").desc())
+    levels = freq.groupBy("cnt").agg(F.count(F.lit(1)).alias("_lines"), (F.count(F.lit(1)) * F.col("cnt")).alias("_level"))
+    before = Window.orderBy(F.col("cnt").desc()).rowsBetween(Window.unboundedPreceding, -1)
     levels = levels.select(
         "cnt",
-        F.coalesce(F.sum("_level").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_level").over(before), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_above"),
         F.sum("_level").over(Window.partitionBy()).alias("_total"),
     )
-    ranked = rank_within(freq, "cnt", key)
+    ranked = with_ordinal(freq, [-F.col("cnt"), F.col(key)], "_ord")
     joined = ranked.join(levels, "cnt")
     total = F.col("_total").cast("double")
-    upto = (F.col("_before") + F.col("cnt") * F.col("_rank")).cast("double")
+    upto = (F.col("_before") + F.col("cnt") * (F.col("_ord") - F.col("_above"))).cast("double")
     return joined.select(
-        key, "cnt", "len",
+        *freq.columns,
         (F.col("cnt").cast("double") * F.lit(100.0) / total).alias("pct"),
         (upto * F.lit(100.0) / total).alias("cumul"),
     )
 
 
-#: Leading bytes that split one count's lines for ranking.
-SPLIT_BYTES = 3
-
-
-def rank_within(df: DataFrame, group: str, key: str) -> DataFrame:
-    """_rank from 1 by key inside each group, by slices of leading bytes.
-
-    A slice's offset is the sum of the smaller slices' counts, so a group with
-    most rows is ranked by many tasks, each with one slice.
-    """
-    sliced = df.withColumn("_slice", F.hex(F.substring(F.col(key).cast("binary"), 1, SPLIT_BYTES)))
-    sizes = sliced.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    local = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(key))
-    return (
-        sliced.withColumn("_local", local)
-        .join(sizes, [group, "_slice"])
-        .withColumn("_rank", F.col("_base") + F.col("_local"))
-        .drop("_slice", "_base", "_local")
-    )
-
-
 def length_histogram(df: DataFrame, key: str = "line", max_length: int | None = 1_000_000) -> DataFrame:
     """(len, cnt, pct, cumul) over distinct lines, count descending then length.
 
@@ -92,7 +69,7 @@ def length_bounds(df: DataFrame, key: str = "line") -> DataFrame:
     return df.agg(F.min(n).alias("min_len"), F.max(n).alias("max_len"))
 
 
-def match_counts(df: DataFrame, removes: DataFrame, order: Sequence[str], key: str = "line") -> DataFrame:
+def match_counts(df: DataFrame, removes: DataFrame, key: str = "line") -> DataFrame:
     """(file_idx, matched): distinct lines first met in list k."""
     from linesets.operators.setops import attribution
 

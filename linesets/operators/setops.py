@@ -79,6 +79,32 @@ def common_prefix(df: DataFrame, removes: DataFrame, n: int, key: str = "line")
     return _by_prefix(df, removes, n, key, "left_semi")
 
 
+def removal_counts(df: DataFrame, removes: DataFrame | None, key: str = "line", dedupe: bool = True, keep_common: bool = False) -> DataFrame:
+    """(metric, value) of a run in one pass over the input: total, uniques, duplicates, list_k, matched and written.
+
+    Rows are counted by key, and keys by the first list that holds them, so what is summed up at
+    last is one row a list.
+    """
+    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    if removes is None:
+        tagged = per_key.withColumn("file_idx", F.lit(None).cast("int"))
+    else:
+        first = removes.groupBy(F.col("line").alias(key)).agg(F.min("file_idx").alias("file_idx"))
+        tagged = per_key.join(first, key, "left")
+    lists = tagged.groupBy("file_idx").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys")).withColumn("kept", F.col("keys") if dedupe else F.col("n"))
+    hit = F.col("file_idx").isNotNull()
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    matched = F.sum(F.when(hit, F.col("kept")))
+    written = matched if keep_common else F.sum(F.when(~hit, F.col("kept")))
+    flat = lists.agg(
+        zero(F.sum("n")).alias("total"), zero(F.sum("keys")).alias("uniques"), zero(F.sum("n") - F.sum("keys")).alias("duplicates"),
+        zero(matched).alias("matched"), zero(written).alias("written"), F.collect_list(F.when(hit, F.struct("file_idx", "kept"))).alias("lists"),
+    )
+    rows = [F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("total", "uniques", "duplicates", "matched", "written")]
+    by_list = F.transform("lists", lambda x: F.struct(F.concat(F.lit("list_"), x["file_idx"].cast("string")).alias("metric"), x["kept"].cast("bigint").alias("value")))
+    return flat.select(F.explode(F.concat(F.array(*rows), by_list)).alias("m")).select("m.metric", "m.value")
+
+
 def dedupe_hash(df: DataFrame, order: Sequence[str], key: str = "line") -> DataFrame:
     """First occurrence by 64-bit hash alone: smaller state, may merge lines."""
     hashed = df.withColumn("_hash", line_hash(F.col(key)))

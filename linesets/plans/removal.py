@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linesets.functions.keys import canonical_key, output_value
@@ -30,35 +30,35 @@ class Removal:
     mode: str = "hash"
 
     def keyed(self, lines: DataFrame) -> DataFrame:
-        return lines.select(*ORDER, canonical_key(F.col("raw")).alias("key"), output_value(F.col("raw")).alias("line"))
+        """(place.., key, ident, line): key is the whole line's identity, ident what decides equality, line what gets written."""
+        whole = canonical_key(F.col("raw"))
+        return lines.select(*ORDER, whole.alias("key"), self._ident(whole).alias("ident"), output_value(F.col("raw")).alias("line"))
+
+    def _ident(self, key: Column) -> Column:
+        return F.substring(key, 1, self.prefix) if self.prefix else key
+
+    def places(self) -> list[str]:
+        """Which row of those with one ident comes first: with a prefix the smallest line."""
+        return ["key", *ORDER] if self.prefix else ORDER
 
     def keys(self, removes: list[DataFrame]) -> DataFrame | None:
-        tagged = [r.select(canonical_key(output_value(F.col("raw"))).alias("line")) for r in removes]
+        tagged = [r.select(self._ident(canonical_key(output_value(F.col("raw")))).alias("line")) for r in removes]
         return setops.union_removes(*tagged) if tagged else None
 
     def first(self, keyed: DataFrame) -> DataFrame:
-        if not self.dedupe:
-            return keyed
-        if self.prefix:
-            return setops.dedupe_prefix(keyed, self.prefix, ORDER, "key")
-        return setops.dedupe_first(keyed, ORDER, "key")
+        return setops.dedupe_first(keyed, self.places(), "ident") if self.dedupe else keyed
 
     def check(self, lines: DataFrame, removes: list[DataFrame]) -> None:
         """Merge mode asks for sorted files, and says where one isn't."""
         if self.mode == "merge":
             for one in (lines, *removes):
-                ordering.require_sorted(self.keyed(one), ["file_idx"], ORDER, "key")
+                ordering.require_sorted(one.select("file_idx", "block", canonical_key(F.col("raw")).alias("line")))
 
     def run(self, lines: DataFrame, removes: list[DataFrame]) -> DataFrame:
         kept, keys = self.first(self.keyed(lines)), self.keys(removes)
-        how = MODES[self.mode]
         if keys is None:
-            kept = kept.limit(0) if self.keep_common else kept
-        elif self.prefix:
-            kept = (setops.common_prefix if self.keep_common else setops.remove_prefix)(kept, keys, self.prefix, "key")
-        else:
-            kept = (setops.common if self.keep_common else setops.remove)(kept, keys, "key", how)
-        return kept
+            return kept.limit(0) if self.keep_common else kept
+        return (setops.common if self.keep_common else setops.remove)(kept, keys, "ident", MODES[self.mode])
 
     def order(self) -> list[str]:
         return ["key", *ORDER] if self.sort or self.mode == "merge" else ORDER
@@ -66,21 +66,23 @@ class Removal:
     def duplicates(self, lines: DataFrame) -> DataFrame:
         """What dedup took away; nothing if duplicates are kept."""
         keyed = self.keyed(lines)
-        return setops.duplicates(keyed, ORDER, "key") if self.dedupe else keyed.limit(0)
+        return setops.duplicates(keyed, self.places(), "ident") if self.dedupe else keyed.limit(0)
+
+    def figures(self, lines: DataFrame, removes: list[DataFrame]) -> DataFrame:
+        """(metric, value): total, uniques, duplicates, rows taken by each list (list_k) and by all (matched), and written."""
+        return setops.removal_counts(self.keyed(lines), self.keys(removes), "ident", self.dedupe, self.keep_common)
 
     def metrics(self, lines: DataFrame, removes: list[DataFrame]) -> DataFrame:
         """(metric, value): totals, and rows taken by each list."""
-        keyed, keys = self.keyed(lines), self.keys(removes)
-        totals = setops.counts(keyed, "key")
-        rows = totals.select(F.explode(F.create_map(*[x for c in totals.columns for x in (F.lit(c), F.col(c))])).alias("metric", "value"))
-        if keys is not None:
-            taken = setops.attribution(self.first(keyed), keys, "key")
-            rows = rows.unionByName(taken.select(F.concat(F.lit("list_"), "file_idx").alias("metric"), F.col("removed").alias("value")))
-        return rows
+        return self.figures(lines, removes).filter(~F.col("metric").isin("matched", "written"))
+
+    def matches(self, lines: DataFrame, removes: list[DataFrame]) -> DataFrame | None:
+        """(file_idx, matched): distinct idents first met in list k."""
+        keys = self.keys(removes)
+        return None if keys is None else freq.match_counts(self.keyed(lines).select(F.col("ident").alias("line")), keys)
 
     def frequency(self, lines: DataFrame) -> DataFrame:
-        """Counts over the whole input; the first occurrence stands for its key."""
-        keyed = self.keyed(lines)
-        counted = freq.frequency(keyed, "key").select("key", "cnt")
-        shown = setops.dedupe_first(keyed, ORDER, "key").select("key", "line")
-        return counted.join(shown, "key").withColumn("len", F.octet_length("line").cast("bigint"))
+        """(key, cnt, line, len) over the whole input; the first occurrence stands for its key."""
+        place = F.struct(*[F.col(c) for c in ORDER], F.col("line"))
+        counted = self.keyed(lines).groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min(place).alias("_first"))
+        return counted.select("key", "cnt", F.col("_first.line").alias("line")).withColumn("len", F.octet_length("line").cast("bigint"))

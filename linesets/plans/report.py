@@ -36,12 +36,13 @@ def two_places(value: float) -> str:
 
 
 def frequency_lines(freq: DataFrame, columns: list[str], key: str = "line") -> Iterator[bytes]:
-    """Report lines, streamed partition by partition."""
+    """Report lines, streamed partition by partition; in the order of counts, then of the lines' identities."""
     if not columns:
         return
     yield "\t".join(HEADINGS[c] for c in columns).encode()
-    rows = running(freq, key) if "s" in columns else freq
-    for row in frequency_order(rows, key).select("*", F.col(key).cast("binary").alias("_raw")).toLocalIterator():
+    by = "key" if "key" in freq.columns else key
+    rows = running(freq, by) if "s" in columns else freq
+    for row in frequency_order(rows, by).select("*", F.col(key).cast("binary").alias("_raw")).toLocalIterator():
         cells = []
         for c in columns:
             if c == "c":

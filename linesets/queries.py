@@ -10,7 +10,7 @@ from linesets.functions.keys import byte_length, canonical_key, output_value, pr
 from linesets.operators import frequency as freq
 from linesets.operators import order as ordering
 from linesets.operators import partition, setops
-from linesets.sources.lines import EXCLUDED, explode_lines
+from linesets.sources.lines import EXCLUDED, explode_lines, spread
 
 ORDER = ["id", "pos"]
 
@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
-    return explode_lines(table(spark, d, "documents"), "text", ["doc_id"]).withColumnRenamed("doc_id", "id")
+    return explode_lines(spread(table(spark, d, "documents").select("doc_id", "text")), "text", ["doc_id"]).withColumnRenamed("doc_id", "id")
 
 
 def lists(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +78,7 @@ def remove_attribution(spark, d):
 
 
 def match_counts(spark, d):
-    return freq.match_counts(doc_lines(spark, d), lists(spark, d), ORDER)
+    return freq.match_counts(doc_lines(spark, d), lists(spark, d))
 
 
 def remove_union(spark, d):
@@ -87,12 +87,12 @@ def remove_union(spark, d):
 
 def sort_bytes(spark, d):
     lines = setops.dedupe_first(doc_lines(spark, d), ORDER).select("line")
-    return ordering.with_ordinal(lines, [F.col("line")], F.substring(F.col("line").cast("binary"), 1, 3))
+    return ordering.with_ordinal(lines, ordering.by_bytes())
 
 
 def restore_order(spark, d):
     lines = setops.dedupe_first(doc_lines(spark, d), ORDER)
-    return ordering.with_ordinal(lines, [F.col("id"), F.col("pos")], F.floor(F.col("id") / 64)).select("id", "pos", "ord")
+    return ordering.with_ordinal(lines, ordering.by_place(ORDER)).select("id", "pos", "ord")
 
 
 def prefix_dedupe(spark, d):
@@ -184,7 +184,7 @@ def split_by_len(spark, d):
 
 def sort_by_len(spark, d):
     lines = doc_lines(spark, d).withColumn("len", byte_length(F.col("line")))
-    return ordering.with_ordinal(lines, [F.col("id"), F.col("pos")], F.col("len")).select(*ORDER, "len", "ord")
+    return ordering.with_ordinal(lines, ordering.by_length(F.col("len"), ORDER)).select(*ORDER, "len", "ord")
 
 
 def dedupe_hash(spark, d):
@@ -213,9 +213,9 @@ def report_counts(spark, d):
 
 
 def remove_metrics(spark, d):
-    stats = setops.counts(doc_lines(spark, d))
-    left = remove_dedupe(spark, d).agg(F.count(F.lit(1)).alias("written"))
-    return stats.crossJoin(left)  # one row each
+    counted = setops.removal_counts(doc_lines(spark, d), lists(spark, d))
+    values = {c: F.max(F.when(F.col("metric") == c, F.col("value"))).alias(c) for c in ("total", "uniques", "duplicates", "written")}
+    return counted.agg(*values.values())
 
 
 L = """with l as (select id, i - 1 as pos, t[i] as line from (

@@ -7,10 +7,10 @@ Spark packs file splits by size, not in order.
 
 from __future__ import annotations
 
-import gzip
-import os
+import re
+import uuid
 from collections.abc import Iterable, Sequence
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,54 +92,81 @@ def _is_gzip(spark: SparkSession, path: str) -> bool:
         stream.close()
 
 
-def _gunzip_lines(batches):
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            lines = gzip.decompress(bytes(content)).split(b"\n")
-            if lines[-1] == b"":
-                lines.pop()
-            yield pdf.__class__({"path": [path] * len(lines), "seq": range(len(lines)), "raw": lines})
+def _scratch(spark: SparkSession) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
-def _read_one(spark: SparkSession, path: str, index: int) -> DataFrame:
-    if not path.endswith(".gz") and _is_gzip(spark, path):
-        # the text reader goes by the ending, so unmarked gzip is opened here
-        rows = spark.read.format("binaryFile").load(path).select("path", "content")
-        lines = rows.mapInPandas(_gunzip_lines, "path string, seq bigint, raw binary")
-        return lines.select(F.lit(index).alias("file_idx"), F.lit(0).cast("bigint").alias("block"), "seq", "raw")
+#: Files put into the shared folder for a reader; delete_staged() takes them away.
+_staged: list[str] = []
+
+
+def delete_staged(spark: SparkSession) -> None:
+    while _staged:
+        fs, jpath = _fs(spark, _staged.pop())
+        fs.delete(jpath, False)
+
+
+def _marked(spark: SparkSession, path: str) -> str:
+    """The path of gzip data that the text reader streams through its codec, which goes by the ending: if need be a copy."""
+    if path.endswith(".gz") or not _is_gzip(spark, path):
+        return path
+    copy = f"{_scratch(spark)}/unzip-{uuid.uuid4().hex}.gz"
+    (fs, source), (to, target) = _fs(spark, path), _fs(spark, copy)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, to, target, False, spark.sparkContext._jsc.hadoopConfiguration())
+    _staged.append(copy)
+    return copy
+
+
+def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Lines of files in their order; gzip by content; no limit on a line.
+
+    One scan reads all files, each once, and a file's number comes from its path.
+    """
+    if not paths:
+        return spark.createDataFrame([], SCHEMA)
+    with ThreadPoolExecutor(16) as pool:  # a file's first bytes tell what it is
+        marked = list(pool.map(lambda p: _marked(spark, p), paths))
+    # as the scan names them
+    names = [_fs(spark, p)[0].makeQualified(_fs(spark, p)[1]).toUri().toString() for p in marked]
     # without lineSep the reader also splits at a lone CR
-    text = spark.read.option("lineSep", "\n").text(path)
-    return text.select(
-        F.lit(index).alias("file_idx"),
+    text = spark.read.option("lineSep", "\n").text(list(dict.fromkeys(marked)))
+    rows = text.select(
+        F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("_path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").cast("binary").alias("raw"),
     )
-
-
-def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Lines of files in their order; gzip by content; no limit on a line."""
-    parts = [_read_one(spark, p, i) for i, p in enumerate(paths, 1)]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
+    if len(names) == 1:
+        return rows.select(F.lit(1).alias("file_idx"), "block", "seq", "raw")
+    files = spark.createDataFrame([(re.sub("^file:/+", "file:/", n), i) for i, n in enumerate(names, 1)], "_path string, file_idx int")
+    # one short row for each file named on the command line
+    return rows.join(F.broadcast(files), "_path").select("file_idx", "block", "seq", "raw")
 
 
 def lines_of(texts: Column) -> Column:
     """Array of a text's lines: one final newline ends the last line; '' has none."""
-    body = F.regexp_replace(texts, r"\n\z", "")
+    body = F.when(texts.endswith("\n"), F.substr(texts, F.lit(1), F.char_length(texts) - 1)).otherwise(texts)
     return F.when(F.coalesce(F.octet_length(texts), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, if a small input comes in fewer."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def explode_lines(df: DataFrame, text: str, ids: Sequence[str]) -> DataFrame:
     """(ids.., pos, line) of every line of a text column; null texts have none."""
     exploded = df.select(*ids, F.posexplode(lines_of(F.col(text))).alias("pos", "line"))
     return exploded.withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def spool_stdin(spark: SparkSession, stream, folder: str) -> str:
-    """Copies a byte stream to a file in a folder that all executors see."""
-    path = os.path.join(folder, f"stdin-{os.getpid()}")
+def spool_stdin(spark: SparkSession, stream, folder: str | None = None) -> str:
+    """Copies a byte stream to a file in a folder that all executors see; delete_staged() takes it away."""
+    path = f"{folder or _scratch(spark)}/stdin-{uuid.uuid4().hex}"
     fs, jpath = _fs(spark, path)
     out = fs.create(jpath, True)
+    _staged.append(path)
     try:
         while chunk := stream.read(1 << 20):
             out.write(bytearray(chunk))

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from linesets import file_queries as files
 from linesets import queries as core
 
 SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.01")
@@ -43,5 +44,10 @@ def test_core(spark, duck, name):
     compare(spark, duck, core.QUERIES[name], core.ORACLE[name])
 
 
+@pytest.mark.parametrize("name", sorted(files.QUERIES))
+def test_files(spark, duck, name):
+    compare(spark, duck, files.QUERIES[name], files.ORACLE[name])
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
