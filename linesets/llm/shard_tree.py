@@ -11,7 +11,9 @@ grow() adds a shard as a region of its own: no other weight changes, at any
 level, so the new shard takes rows only into itself.
 
 Law: key. doc_id and the tree alone decide; a null doc_id is a key like any
-other; rows with equal doc_id share a shard. Null texts count no bytes.
+other; rows with equal doc_id share a shard. Null texts count no bytes, and texts of any length only
+their size. Of equal draws the later child wins. An empty table gives no rows; assign() adds one column and
+keeps the others, whatever their names.
 """
 
 from __future__ import annotations
@@ -99,7 +101,7 @@ def assign(docs: DataFrame, tree: Node, id_col: str = "doc_id", name: str = "sha
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from linesets.llm._common import table
+    from linesets.llm._common import result, scratch, table
     from linesets.llm._slots import with_slots
 
     tree = build()
@@ -110,4 +112,7 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.lit("key").alias("law"),
     )
     placed = assign(assign(docs, tree), grow(tree), name="grown_shard")
-    return with_slots(placed, "shard", "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    with scratch(spark):
+        out = with_slots(placed, "shard", "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+        path = result(out, "shards")
+    return spark.read.schema(out.schema).parquet(path)
