@@ -18,25 +18,34 @@ link when 100 * |A and B| >= 75 * |A or B|, that is when the overlap is at least
   and a neighbourhood is a pivot with all sets that share such a token with it:
   sets that meet in a token meet in the neighbourhood of its pivot.
 * A neighbourhood first meets as points alone: one tree tells which sets may have
-  a partner at all, and only their tokens are fetched.
+  a partner at all, and only their tokens are fetched. One of more than `TREE_ROWS` sets would
+  hold up a task; it goes on whole, and its trees are those of its blocks.
 * Inside a neighbourhood only pairs that are not connected yet are looked at, so a
   group of copies costs its size, not its square. A large neighbourhood is dealt
-  to blocks, each with the pivot; sets that a block could not connect to
+  to blocks, the more the larger it is, each with the pivot; sets that a block could not connect to
   the pivot are then compared with all other blocks.
 * Equal sets are one: they collapse before the join, and links are edges between
   numbers of sets. Components come from rounds of joins; doc_ids come in at the end.
 
-Tokens in cells with more than `HOT_CELL` occurrences take another road to their
-pivots, as plain rows that are aggregated before they are shuffled.
+A cell that holds far more than its share of the tokens would fill one bucket: its tokens
+take another road to their pivots, as plain rows that are aggregated before they are shuffled.
+
+Words and shingles are 64-bit hashes under a key that is drawn for each run, so texts
+can't be made to collide; two sets of m shingles share one by chance in m^2 / 2^64 of
+cases, and a false link needs three quarters of them.
 
 Null texts, and texts without words, have empty sets and link with nothing; fewer
 than 5 words are one shingle. Rows that repeat a doc_id are one document of each
 text: their sets are linked with each other. A null doc_id links like others but can't
-be smallest where another is there; a component of null ids alone is null.
+be smallest where another is there; a component of null ids alone is null. An empty table
+gives no rows. A text's whole set is held by one worker, 8 bytes a shingle, however long the text is.
+Only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,30 +54,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linesets.llm import _text
-from linesets.llm._common import materialize, table, tidy, with_workers
+from linesets.llm._common import materialize, result, scratch, table, tidy, with_workers
 from linesets.llm._components import components
 
 SHINGLE = 5
 SHARE, WHOLE = 75, 100
 CELL_BITS = 20
 EARLY = np.uint32(1 << 31)  # marks the size of an early token's set
-HOT_CELL = 20_000_000
+#: Rows of cells that are added up together.
+CELL_PARTS = 256
+#: A cell is hot from so many tokens on, if it also has so many times its share.
+HOT_CELL, HOT_TIMES = 600_000, 64
 BUCKET_TOKENS = 600_000
-MOST_BUCKETS = 4096
+#: From so many buckets on both their number and their size grow; a bucket is worked on slot by slot.
+WIDE = 4096
 FLUSH = 400_000
-BLOCK_TOKENS = 3_000_000
-#: Sets of a neighbourhood whose vectors one tree holds.
-TREE_ROWS = 20_000
+#: Tokens and sets of a block at most, about.
+BLOCK_TOKENS, BLOCK_SETS = 3_000_000, 20_000
+#: Sets of a neighbourhood whose vectors one tree holds before tokens are fetched; larger ones are dealt to
+#: the square root of so many sets' blocks.
+TREE_ROWS, SPREAD = 400, 64
 FAN = 16
-#: Sets that may be sent to every executor for the search of candidates' texts (8 bytes each).
+#: Sets that may be sent to every executor for the search of candidates' texts (8 bytes each); more meet in a join.
 BROADCAST_IDS = 500_000
 
 # sets --------------------------------------------------------------------------------------
 
 
-def shingle_sets(part: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(part: list[bytes], key: int = _text.KEY, size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    found = _text.words(part)
+    found = _text.words(part, key=key)
     n = np.diff(found.first)
     hashes = found.hash
     if len(hashes) >= size:
@@ -125,37 +140,52 @@ def prefix(tokens: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarra
 # first pass: set of each document, counts of cells -------------------------------------------
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells = np.zeros(1 << CELL_BITS, np.int64)
-    names = ["doc_id", "hash", "high", "low", "n", "vector", "cells"]
-    for batch in batches:
-        rows: list[tuple[int, int, int, bytes]] = []
-        for _, part in _text.slices(_text.texts(batch.column(1))):
-            sets = shingle_sets(part)
-            rows += [(*signature(s), len(s), count_vectors([s], groups_for(len(s)))[0].tobytes()) for s in sets]
-            cells += np.bincount(cell_of(np.concatenate(sets)), minlength=1 << CELL_BITS)
-        high, low, n, vector = zip(*rows, strict=True) if rows else ((), (), (), ())
-        found = [pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(n, pa.int64()), pa.array(vector, pa.binary())]
-        columns = [batch.column(0), batch.column(2), *found, pa.nulls(len(rows), pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
-    empty = [pa.nulls(1, pa.int64())] * 5
-    yield pa.RecordBatch.from_arrays([*empty, pa.nulls(1, pa.binary()), pa.array([cells.astype(np.uint32).tobytes()], pa.binary())], names=names)
+def _describe(key: int):
+    names = ["doc_id", "hash", "high", "low", "n", "vector", "part", "cells"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            rows: list[tuple[int, int, int, bytes]] = []
+            for _, part in _text.slices(_text.texts(batch.column(1))):
+                sets = shingle_sets(part, key)
+                rows += [(*signature(s), len(s), count_vectors([s], groups_for(len(s)))[0].tobytes()) for s in sets]
+                cells += np.bincount(cell_of(np.concatenate(sets)), minlength=1 << CELL_BITS)
+            high, low, n, vector = zip(*rows, strict=True) if rows else ((), (), (), ())
+            found = [pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(n, pa.int64()), pa.array(vector, pa.binary())]
+            columns = [batch.column(0), batch.column(2), *found, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        parts = [(i, x.tobytes()) for i, x in enumerate(cells.astype(np.uint32).reshape(CELL_PARTS, -1)) if x.any()]
+        where, blobs = zip(*parts, strict=True) if parts else ((), ())
+        empty = [pa.nulls(len(parts), pa.int64())] * 5
+        yield pa.RecordBatch.from_arrays([*empty, pa.nulls(len(parts), pa.binary()), pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+
+    return run
 
 
 def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << CELL_BITS, np.int64)
+    """Rows (part, counts of a task) sorted by part -> sums."""
+    key, total = None, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "cells"])
+
     for batch in batches:
-        for blob in batch.column(0):
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if part != key:
+                if key is not None:
+                    yield row()
+                key, total = part, np.zeros((1 << CELL_BITS) // CELL_PARTS, np.int64)
             total += np.frombuffer(blob.as_buffer(), np.uint32)
-    top = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)  # an order is all they give
-    yield pa.RecordBatch.from_arrays([pa.array([top.tobytes()], pa.binary())], names=["cells"])
+    if key is not None:
+        yield row()
 
 
 # second pass: tokens of each prefix, to the least set that has them ---------------------------
 
 
-def _prefix_rows(cells: np.ndarray, n: int):
-    """(bucket, token, high, low, n) rows of packed arrays. Tokens of hot cells go to buckets from n on, at random."""
+def _prefix_rows(cells: np.ndarray, hot: np.ndarray, n: int, slots: int, key: int):
+    """(bucket, slot, token, high, low, n) rows of packed arrays. Tokens of hot cells go to buckets from n on, by task."""
 
     def flush(held: list[tuple], part: int) -> pa.RecordBatch:
         tokens = np.concatenate([h[0] for h in held])
@@ -163,14 +193,15 @@ def _prefix_rows(cells: np.ndarray, n: int):
         highs = np.repeat(np.array([h[1][0] for h in held], np.int64), sizes)
         lows = np.repeat(np.array([h[1][1] for h in held], np.uint32), sizes)
         counts = np.concatenate([np.where(h[3], EARLY, np.uint32(0)) | np.uint32(h[2]) for h in held])
-        bucket = (_text.mix(tokens) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
-        bucket = np.where(cells[cell_of(tokens)] > HOT_CELL, n + part % n, bucket.astype(np.int64))
-        order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        slot = ((_text.mix(tokens) >> np.uint64(32)) * np.uint64(n * slots) >> np.uint64(32)).astype(np.int64)
+        slot = np.where(hot[cell_of(tokens)], (n + part % n) * slots, slot)
+        order = np.argsort(slot, kind="stable")
+        edges = np.flatnonzero(np.diff(slot[order], prepend=-1))
         ends = [*edges[1:].tolist(), len(order)]
         cut = lambda a: pa.array([a[order[s:e]].tobytes() for s, e in zip(edges.tolist(), ends, strict=True)], pa.binary())
-        where = pa.array(bucket[order][edges], pa.int32())
-        return pa.RecordBatch.from_arrays([where, cut(tokens), cut(highs), cut(lows), cut(counts)], names=["bucket", "token", "high", "low", "n"])
+        bucket, inner = np.divmod(slot[order][edges], slots)
+        where = [pa.array(bucket, pa.int32()), pa.array(inner, pa.int32())]
+        return pa.RecordBatch.from_arrays([*where, cut(tokens), cut(highs), cut(lows), cut(counts)], names=["bucket", "slot", "token", "high", "low", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -178,7 +209,7 @@ def _prefix_rows(cells: np.ndarray, n: int):
         task, held, size, seen = TaskContext.get().partitionId(), [], 0, set()
         for batch in batches:
             for _, part in _text.slices(_text.texts(batch.column(0))):
-                for s in shingle_sets(part):
+                for s in shingle_sets(part, key):
                     if not len(s):
                         continue
                     own = signature(s)
@@ -240,14 +271,14 @@ def _pivots(n: int):
         key, held = None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                arrays = [np.frombuffer(b, d) for b, d in zip(row[1:], (np.uint64, np.int64, np.uint32, np.uint32), strict=True)]
+                arrays = [np.frombuffer(b, d) for b, d in zip(row[2:], (np.uint64, np.int64, np.uint32, np.uint32), strict=True)]
                 if row[0] >= n:
                     yield batch_of(*arrays[:3], None, None)
                     continue
-                if row[0] != key and held:
+                if row[:2] != key and held:
                     yield shared(*map(np.concatenate, zip(*held, strict=True)))
                     held = []
-                key = row[0]
+                key = row[:2]
                 held.append(arrays)
         if held:
             yield shared(*map(np.concatenate, zip(*held, strict=True)))
@@ -334,7 +365,7 @@ def connect(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> l
     groups = groups_for(int(sizes.min()))
     points = count_vectors(base, groups)
     tree = RTree(points, sizes)
-    label = np.arange(len(base))
+    parent, groups_left = list(range(len(base))), len(base)
     edges = []
     asked = range(len(base)) if others is None else range(len(sets))
     vectors = points if others is None else count_vectors(sets, groups)
@@ -344,38 +375,42 @@ def connect(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> l
         if others is None:
             near = near[near > i]
         near.sort()
-        met: set[int] = set()
         for j in near.tolist():
-            if others is None:
-                if label[i] == label[j]:
-                    continue
-            elif label[j] in met:
+            if others is None and _find(parent, i) == _find(parent, j):
                 continue
             if overlap(mine, base[j]) >= needed(len(mine), sizes[j]):
                 edges.append((i, j))
                 if others is None:
-                    label[label == label[j]] = label[i]
-                else:
-                    met.add(int(label[j]))
-        if others is None and (label == label[0]).all():
+                    parent[_find(parent, i)] = _find(parent, j)
+                    groups_left -= 1
+        if others is None and groups_left == 1:
             break
     return edges
 
 
+def _find(parent: list[int], x: int) -> int:
+    """Root of x in a forest; the way there gets shorter."""
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pivot, id, n, vector) sorted by pivot -> (pivot, id, n) of sets that may have a partner, and their pivots."""
+    """Rows (pivot, id, n, blocks, vector) sorted by pivot -> those of sets that may have a partner, and their pivots."""
 
     def kept() -> pa.RecordBatch:
-        use = paired([np.frombuffer(v, np.uint16) for _, _, v in held], np.array([n for _, n, _ in held]))
+        use = paired([np.frombuffer(r[3], np.uint16) for r in held], np.array([r[1] for r in held]))
         if use.any():
-            use |= np.array([i == key for i, _, _ in held])
+            use |= np.array([r[0] == key for r in held])
         rows = [held[i] for i in np.flatnonzero(use)]
-        columns = [[key] * len(rows), [r[0] for r in rows], [r[1] for r in rows]]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["pivot", "id", "n"])
+        columns = [[key] * len(rows), *([r[k] for r in rows] for k in range(3))]
+        kinds = [*[pa.int64()] * 3, pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["pivot", "id", "n", "blocks"])
 
     key, held = None, []
     for batch in batches:
-        for pivot, *row in zip(*(batch.column(n).to_pylist() for n in ("pivot", "id", "n", "vector")), strict=True):
+        for pivot, *row in zip(*(batch.column(n).to_pylist() for n in ("pivot", "id", "n", "blocks", "vector")), strict=True):
             if pivot != key:
                 if len(held) > 1:
                     yield kept()
@@ -393,17 +428,10 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         ids, sets = [ids[i] for i in order], [sets[i] for i in order]
         edges = connect(sets)
         parent = list(range(len(ids)))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
         for i, j in edges:
-            parent[find(i)] = find(j)
-        root = find(0)
-        loose = [ids[i] for i in range(len(ids)) if find(i) != root]
+            parent[_find(parent, i)] = _find(parent, j)
+        root = _find(parent, 0)
+        loose = [ids[i] for i in range(len(ids)) if _find(parent, i) != root]
         a = [ids[i] for i, _ in edges] + loose
         b = [ids[j] for _, j in edges] + [None] * len(loose)
         m = len(a)
@@ -451,57 +479,66 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve()
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [s for _, part in _text.slices(_text.texts(batch.column(0))) for s in shingle_sets(part)]
-        high, low = zip(*map(signature, sets), strict=True) if sets else ((), ())
-        columns = [pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["high", "low", "tokens"])
+def _sets_of(key: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s for _, part in _text.slices(_text.texts(batch.column(0))) for s in shingle_sets(part, key)]
+            high, low = zip(*map(signature, sets), strict=True) if sets else ((), ())
+            columns = [pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["high", "low", "tokens"])
+
+    return run
 
 
 # the join ----------------------------------------------------------------------------------
 
 
-def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+def describe(docs: DataFrame, key: int) -> tuple[DataFrame, np.ndarray]:
     """((doc_id, hash of the text, high, low, n, vector) of every document, counts of cells)."""
-    first = materialize(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(_describe), "doc_id bigint, hash bigint, high bigint, low bigint, n bigint, vector binary, cells binary"), "shingle-sets")
-    # 2^20 counts a task, added up by a few tasks: a bounded array, however many documents
-    blobs = first.filter("cells is not null").select("cells")
-    cells = np.zeros(1 << CELL_BITS, np.int64)
-    for r in blobs.coalesce(2).mapInArrow(tidy(_add_cells), "cells binary").collect():
-        cells += np.frombuffer(r["cells"], np.uint32)
-    return first.filter("cells is null").drop("cells"), cells
+    schema = "doc_id bigint, hash bigint, high bigint, low bigint, n bigint, vector binary, part int, cells binary"
+    first = materialize(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(_describe(key)), schema), "shingle-sets")
+    # 2^20 counts a task in parts, each part added up by a task of its own; the sums are a bounded array, however many documents
+    parts = first.filter("cells is not null").select("part", "cells").repartition(CELL_PARTS, "part").sortWithinPartitions("part")
+    cells = np.zeros((CELL_PARTS, (1 << CELL_BITS) // CELL_PARTS), np.int64)
+    for r in parts.mapInArrow(tidy(_add_cells), "part int, cells binary").collect():
+        cells[r["part"]] = np.frombuffer(r["cells"], np.int64)
+    return first.filter("cells is null").drop("part", "cells"), cells.ravel()
 
 
-def memberships(docs: DataFrame, described: DataFrame, cells: np.ndarray) -> DataFrame:
+def memberships(docs: DataFrame, cells: np.ndarray, key: int) -> DataFrame:
     """(high, low, p_high, p_low), distinct: sets with the pivots whose neighbourhoods they belong to."""
-    n = max(8, min(MOST_BUCKETS, -(-int(cells.sum()) // 4 // BUCKET_TOKENS)))
-    cells = np.minimum(cells, 0xFFFFFFFF).astype(np.uint32)  # an order is all they give
-    rows = docs.select("text").mapInArrow(tidy(_prefix_rows(cells, n)), "bucket int, token binary, high binary, low binary, n binary")
-    dealt = rows.repartition(2 * n if (cells > HOT_CELL).any() else n, "bucket").sortWithinPartitions("bucket")
+    units = -(-int(cells.sum()) // 4 // BUCKET_TOKENS)
+    n = max(8, units if units <= WIDE else math.isqrt(WIDE * units))
+    slots = max(1, -(-units // n))
+    hot = cells > max(HOT_CELL, HOT_TIMES * int(cells.sum()) >> CELL_BITS)
+    order = np.minimum(cells, 0xFFFFFFFF).astype(np.uint32)  # an order is all they give
+    rows = docs.select("text").mapInArrow(tidy(_prefix_rows(order, hot, n, slots, key)), "bucket int, slot int, token binary, high binary, low binary, n binary")
+    dealt = rows.repartition(2 * n if hot.any() else n, "bucket").sortWithinPartitions("bucket", "slot")
     found = materialize(dealt.mapInArrow(tidy(_pivots(n)), "token bigint, high bigint, low bigint, p_high bigint, p_low bigint"), "pivots")
     members = found.filter("token is null").drop("token")
-    if (cells > HOT_CELL).any():
-        hot = found.filter("token is not null").select("token", "high", "low").distinct()
-        least = hot.groupBy("token").agg(F.min(F.struct("high", "low")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-        members = members.unionByName(hot.join(least, "token").select("high", "low", F.col("p.high").alias("p_high"), F.col("p.low").alias("p_low")))
+    if hot.any():
+        plain = found.filter("token is not null").select("token", "high", "low").distinct()
+        least = plain.groupBy("token").agg(F.min(F.struct("high", "low")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+        members = members.unionByName(plain.join(least, "token").select("high", "low", F.col("p.high").alias("p_high"), F.col("p.low").alias("p_low")))
     return members.distinct()
 
 
 def _pruned(pairs: DataFrame, described: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members that may have a partner by the bound on count vectors; a neighbourhood of very many keeps all."""
-    counted = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
-    sized = pairs.join(counted.filter("m > 1"), "pivot")
+    """(pivot, id, n, blocks): members that may have a partner by the bound on count vectors, and how many blocks they are dealt to."""
+    counted = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight")).filter("m > 1")
+    many = F.when(F.col("m") > TREE_ROWS, F.sqrt(F.col("m") / SPREAD)).otherwise(1)
+    blocks = F.ceil(F.greatest(many, F.col("weight") / BLOCK_TOKENS, F.col("m") / BLOCK_SETS)).cast("int")
+    sized = pairs.join(counted.select("pivot", "m", blocks.alias("blocks")), "pivot")
     # of rows with one set, the one with its least doc_id
     own, least = described.alias("d"), sets.alias("s")
     same = (F.col("d.high") == F.col("s.high")) & (F.col("d.low") == F.col("s.low")) & F.col("d.doc_id").eqNullSafe(F.col("s.rep"))
     vectors = own.join(least, same).select("s.id", "d.vector")
     vectors = vectors.groupBy("id").agg(F.min("vector").alias("vector"))
-    few = sized.filter(F.col("m") <= TREE_ROWS).select("pivot", "id", "n").join(vectors, "id").select("pivot", "id", "n", "vector")
+    few = sized.filter(F.col("m") <= TREE_ROWS).select("pivot", "id", "n", "blocks").join(vectors, "id").select("pivot", "id", "n", "blocks", "vector")
     dealt = few.repartition("pivot").sortWithinPartitions("pivot")
-    kept = dealt.mapInArrow(tidy(_bounded), "pivot bigint, id bigint, n bigint")
-    many = sized.filter(F.col("m") > TREE_ROWS).select("pivot", "id", "n")
-    return materialize(kept.unionByName(many), "near-members")
+    kept = dealt.mapInArrow(tidy(_bounded), "pivot bigint, id bigint, n bigint, blocks int")
+    whole = sized.filter(F.col("m") > TREE_ROWS).select("pivot", "id", "n", "blocks")
+    return materialize(kept.unionByName(whole), "near-members")
 
 
 def distinct_sets(described: DataFrame) -> DataFrame:
@@ -519,30 +556,28 @@ def repeated_ids(described: DataFrame, sets: DataFrame) -> DataFrame:
     return held.join(least, "doc_id").select("a", F.col("id").alias("b")).filter("a <> b")
 
 
-def links(docs: DataFrame, described: DataFrame, sets: DataFrame, cells: np.ndarray) -> DataFrame:
+def links(docs: DataFrame, described: DataFrame, sets: DataFrame, cells: np.ndarray, key: int) -> DataFrame:
     """(a, b): links between sets that connect all that is linked."""
-    members = memberships(docs, described, cells)
+    members = memberships(docs, cells, key)
     named = members.join(sets, ["high", "low"]).select("id", "n", F.col("p_high").alias("high"), F.col("p_low").alias("low"))
     pairs = named.join(sets.select("high", "low", F.col("id").alias("pivot")), ["high", "low"]).select("pivot", "id", "n")
     pairs = _pruned(materialize(pairs, "members"), described, sets)
     # blocks of a neighbourhood hold a bounded number of tokens; the pivot is in each of them
-    weight = pairs.groupBy("pivot").agg(F.sum("n").alias("weight"))
-    parts = weight.select("pivot", F.ceil(F.col("weight") / BLOCK_TOKENS).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = pairs.join(parts, "pivot").select("pivot", "id", "blocks", F.explode(F.when(F.col("id") == F.col("pivot"), every).otherwise(F.array(own))).alias("block"))
+    placed = pairs.select("pivot", "id", "blocks", F.explode(F.when(F.col("id") == F.col("pivot"), every).otherwise(F.array(own))).alias("block"))
     ids = materialize(pairs.select("id").distinct().join(sets.select("id", "rep", "high", "low"), "id"), "candidates")
     small = ids.count() <= BROADCAST_IDS
     reps = ids.select("rep").distinct()
     wanted = docs.join(F.broadcast(reps) if small else reps, docs["doc_id"].eqNullSafe(reps["rep"]), "left_semi").select("text")
     # a doc_id may have other texts too: the signature tells which set is wanted
-    tokens = wanted.mapInArrow(tidy(_sets_of), "high bigint, low bigint, tokens binary").join(ids.select("high", "low", "id"), ["high", "low"])
+    tokens = wanted.mapInArrow(tidy(_sets_of(key)), "high bigint, low bigint, tokens binary").join(ids.select("high", "low", "id"), ["high", "low"])
     tokens = materialize(tokens.groupBy("high", "low", "id").agg(F.min("tokens").alias("tokens")).select("id", "tokens"), "candidate-sets")
     full = placed.join(tokens, "id").select("pivot", "block", "blocks", "id", "tokens")
     solved = full.repartition("pivot", "block").sortWithinPartitions("pivot", "block")
     found = materialize(solved.select("pivot", "block", "id", "tokens").mapInArrow(tidy(_neighbourhoods), "pivot bigint, block int, a bigint, b bigint"), "links")
     edges = found.filter("b is not null").select("a", "b")
-    large = parts.filter("blocks > 1")
+    large = pairs.filter("blocks > 1 and id = pivot").select("pivot", "blocks")
     if large.limit(1).count():
         loose = found.filter("b is null").select("pivot", F.col("block").alias("home"), F.col("a").alias("id")).join(large, "pivot")
         visit = loose.select("pivot", "id", "home", F.explode(every).alias("block")).filter("block <> home").join(tokens, "id")
@@ -555,18 +590,22 @@ def links(docs: DataFrame, described: DataFrame, sets: DataFrame, cells: np.ndar
 
 def grouped(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, hash of the text, n_shingles, component, component_id) of every row; component is a number, null without words."""
-    with_workers(docs.sparkSession)
+    spark = docs.sparkSession
+    with_workers(spark)
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    described, cells = describe(slim)
-    sets = distinct_sets(described)
-    joined = components(links(slim, described, sets, cells))
-    least = joined.join(sets.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("least"))
-    named = sets.join(joined, "id", "left").join(least, "component", "left")
-    named = named.select("high", "low", F.coalesce("component", "id").alias("component"), F.coalesce("least", "rep").alias("component_id"))
-    linked = described.filter("n > 0").join(named, ["high", "low"])
-    alone = described.filter("n = 0").withColumns({"component": F.lit(None).cast("bigint"), "component_id": F.col("doc_id")})
-    names = ["doc_id", "hash", F.col("n").alias("n_shingles"), "component", "component_id"]
-    return linked.select(*names).unionByName(alone.select(*names))
+    key = secrets.randbits(64)
+    with scratch(spark):
+        described, cells = describe(slim, key)
+        sets = distinct_sets(described)
+        joined = components(links(slim, described, sets, cells, key))
+        least = joined.join(sets.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("least"))
+        named = sets.join(joined, "id", "left").join(least, "component", "left")
+        named = named.select("high", "low", F.coalesce("component", "id").alias("component"), F.coalesce("least", "rep").alias("component_id"))
+        linked = described.filter("n > 0").join(named, ["high", "low"])
+        alone = described.filter("n = 0").withColumns({"component": F.lit(None).cast("bigint"), "component_id": F.col("doc_id")})
+        names = ["doc_id", "hash", F.col("n").alias("n_shingles"), "component", "component_id"]
+        path = result(linked.select(*names).unionByName(alone.select(*names)), "classes")
+    return spark.read.schema("doc_id bigint, hash bigint, n_shingles bigint, component bigint, component_id bigint").parquet(path)
 
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
