@@ -77,14 +77,18 @@ def tidy(run):
     return tidied
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; one of its own in local mode where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="linesets-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        # the setting can't be changed in a session that runs
+        base = _own_dirs.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="linesets-")
+        _own_dirs[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 
@@ -125,8 +129,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def result(df: DataFrame, name: str) -> str:
-    """Where df was written: a table that stays when the scratch tables around it go."""
+    """Where df was written: a table that stays when the scratch tables around it go; it belongs to what is around those."""
     path = _place(df.sparkSession, name)
+    if len(_open) > 1:
+        _open[-2].append(path)
     df.write.parquet(path)
     return path
 

@@ -12,13 +12,15 @@ fold into one matrix W, so scores of a batch are k(batch, landmarks) W: two matr
 products. The language is that of the highest score; the score shown is the margin
 to the second as a probability-like figure between 0 and 1.
 
-Training takes a bounded sample: up to `per_label` labelled texts of each language,
-those with the smallest hash of doc_id, and `most_rows` in all. All rows are
+Training takes a bounded sample: up to `PER_LABEL` labelled texts of each language, of at most
+`SAMPLE_BYTES` bytes each, those with the smallest hash of doc_id, and `MOST_ROWS` in all, so at most
+60 MB reach the driver. A language that only longer texts have isn't learned. All rows are
 predicted, whole texts, from the text alone.
 
 A null text, or one without a letter, is `und` with score 0. Without any training
-row all are `und`. Rows are predicted one by one: repeated rows and other columns
-make no difference.
+row all are `und`. Of languages with equal scores the first in byte order is taken. Rows are
+predicted one by one, however long they are: repeated rows and other columns make no difference.
+An empty table gives no rows; columns with the names of the two that are added are replaced.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ PER_LABEL = 150
 MOST_ROWS = 3000
 LANDMARKS = 96
 RIDGE = 0.1
-#: Texts shorter than this in bytes aren't taken as training rows while longer ones are there.
+#: Texts shorter than this in bytes aren't taken as training rows while longer ones are there; longer ones than SAMPLE_BYTES never are.
 LEAST_BYTES = 200
 SAMPLE_BYTES = 20_000
 
@@ -181,11 +183,11 @@ def predict(model: Model | None, texts: list[bytes | None]) -> tuple[list[str],
 
 def sample(docs: DataFrame, text: str, label: str, id_col: str, per_label: int = PER_LABEL, most_rows: int = MOST_ROWS) -> list[tuple[bytes, str]]:
     """Labelled texts of a bounded sample, the same at every partitioning."""
-    spoken = docs.filter(F.col(label).isNotNull() & (F.octet_length(text) > 0) & F.col(text).rlike(r"\p{L}"))
+    spoken = docs.filter(F.col(label).isNotNull() & F.octet_length(text).between(1, SAMPLE_BYTES) & F.col(text).rlike(r"\p{L}"))
     ranked = spoken.select(
         F.col(id_col).alias("id"), F.col(label).alias("label"), F.xxhash64(text).alias("body"),
-        # long enough and not too long first
-        (~F.octet_length(text).between(LEAST_BYTES, SAMPLE_BYTES)).alias("odd"), F.xxhash64(F.col(id_col), F.lit("sample")).alias("draw"),
+        # long enough first
+        (F.octet_length(text) < LEAST_BYTES).alias("odd"), F.xxhash64(F.col(id_col), F.lit("sample")).alias("draw"),
     )
     order = Window.partitionBy("label").orderBy("odd", "draw", "body")
     picked = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_label)

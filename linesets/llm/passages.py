@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linesets.llm import line_dedup
-from linesets.llm._common import materialize, table
+from linesets.llm._common import materialize, result, scratch, table
 
 WINDOW = 50
 GRAM = 8
@@ -89,27 +89,30 @@ def _merged(starts: Column, window: int) -> Column:
 
 def repeated_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(_id, _hash, _cut): documents that hold later windows, and the runs of words in them: (low, high), from 0, sorted, without high."""
-    gram = min(gram, window)
-    own = docs.filter(F.octet_length(text) > 0).select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
-    named = own.select("_id", "_hash", F.explode(_names(F.col("_text"), window, gram)).alias("u")).select("_id", "_hash", "u.*")
-    named = materialize(named, "passage-names")
-    several = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("name")
-    spans = named.join(several, "name").groupBy("_id", "_hash").agg(F.collect_set(F.struct("a", "b")).alias("_spans"))
-    spans = spans.withColumnsRenamed({"_id": "_span_id", "_hash": "_span_hash"})
-    held = own.join(spans, F.col("_id").eqNullSafe(F.col("_span_id")) & (F.col("_hash") == F.col("_span_hash")))
-    asked = F.flatten(F.transform("_spans", lambda s: F.sequence(s["a"], s["b"])))
-
-    def unit(words: Column, i: Column) -> Column:
-        part = F.slice(words, i + 1, window)
-        return F.struct(i.alias("start"), F.xxhash64(part).alias("x"), F.xxhash64(F.lit(line_dedup.SECOND_SEED), part).alias("y"))
-
-    units = _let(_hashes(F.col("_text")), lambda words: F.transform(asked, lambda i: unit(words, i)))
-    units = materialize(held.select("_id", "_hash", F.explode(units).alias("u")).select("_id", "_hash", "u.*"), "passages")
-    place = F.struct("_id", "_hash", "start")
-    firsts = units.groupBy("x", "y").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = units.join(firsts, ["x", "y"]).filter(place > F.col("first"))
-    cut = later.groupBy("_id", "_hash").agg(F.sort_array(F.collect_set("start")).alias("_starts"))
-    return cut.select("_id", "_hash", _let(F.col("_starts"), lambda s: _merged(s, window)).alias("_cut"))
+    spark, gram = docs.sparkSession, min(gram, window)
+    with scratch(spark):
+        own = docs.filter(F.octet_length(text) > 0).select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+        named = own.select("_id", "_hash", F.explode(_names(F.col("_text"), window, gram)).alias("u")).select("_id", "_hash", "u.*")
+        named = materialize(named, "passage-names")
+        several = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("name")
+        spans = named.join(several, "name").groupBy("_id", "_hash").agg(F.collect_set(F.struct("a", "b")).alias("_spans"))
+        spans = spans.withColumnsRenamed({"_id": "_span_id", "_hash": "_span_hash"})
+        held = own.join(spans, F.col("_id").eqNullSafe(F.col("_span_id")) & (F.col("_hash") == F.col("_span_hash")))
+        asked = F.flatten(F.transform("_spans", lambda s: F.sequence(s["a"], s["b"])))
+
+        def unit(words: Column, i: Column) -> Column:
+            part = F.slice(words, i + 1, window)
+            return F.struct(i.alias("start"), F.xxhash64(part).alias("x"), F.xxhash64(F.lit(line_dedup.SECOND_SEED), part).alias("y"))
+
+        units = _let(_hashes(F.col("_text")), lambda words: F.transform(asked, lambda i: unit(words, i)))
+        units = materialize(held.select("_id", "_hash", F.explode(units).alias("u")).select("_id", "_hash", "u.*"), "passages")
+        place = F.struct("_id", "_hash", "start")
+        firsts = units.groupBy("x", "y").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        later = units.join(firsts, ["x", "y"]).filter(place > F.col("first"))
+        cut = later.groupBy("_id", "_hash").agg(F.sort_array(F.collect_set("start")).alias("_starts"))
+        found = cut.select("_id", "_hash", _let(F.col("_starts"), lambda s: _merged(s, window)).alias("_cut"))
+        path = result(found, "passage-cuts")
+    return spark.read.schema(found.schema).parquet(path)
 
 
 def cut_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -138,7 +141,9 @@ def cut_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wi
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = materialize(line_dedup.dedup_lines(docs), "line-deduped")
-    out = cut_passages(lines)
     n_lines, n_cut = F.col(line_dedup.N_LINES).alias("n_lines"), F.col(line_dedup.N_CUT).alias("n_cut")
-    return out.select("doc_id", n_lines, n_cut, F.col(N_WORDS_CUT).alias("n_words_cut"), F.col("text").alias("kept_text"))
+    with scratch(spark):
+        out = cut_passages(materialize(line_dedup.dedup_lines(docs), "line-deduped"))
+        out = out.select("doc_id", n_lines, n_cut, F.col(N_WORDS_CUT).alias("n_words_cut"), F.col("text").alias("kept_text"))
+        path = result(out, "passages-cut")
+    return spark.read.schema(out.schema).parquet(path)
