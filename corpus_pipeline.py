@@ -7,11 +7,13 @@ stages but the last return the columns of documents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linesets.llm import _tokens, language_id, line_dedup, ngram_join, packing
-from linesets.llm._common import materialize, table
+from linesets.llm._common import materialize, result, scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,20 +48,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stays. Documents without words are copies of nothing and stay.
     """
     groups = ngram_join.grouped(docs)
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    one = named.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_row"), F.count(F.lit(1)).alias("_n"))
-    repeated = one.filter("_n > 1")
-    single = named.join(repeated.select(F.col("doc_id").alias("_again")), F.col("doc_id") == F.col("_again"), "left_anti")
-    chosen = repeated.select("doc_id", "_row.*").select(*docs.columns)
+    mark, times = (f"_{n}_{uuid.uuid4().hex}" for n in ("kept", "times"))  # no column of docs has these names
+    kept = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(mark)).agg(F.count(F.lit(1)).alias(times))
+    named = docs.join(kept, F.col("doc_id") == F.col(mark))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # the least text, then the least row as it is written out: columns needn't have an order
+    least = F.min_by(F.struct(*columns), F.struct("text", F.to_json(F.struct(*columns)))).alias("_row")
+    single = named.filter(F.col(times) == 1).select(*columns)
+    chosen = named.filter(F.col(times) > 1).groupBy(mark).agg(least).select("_row.*")
     # rows with null ids are told by their texts
     nameless = groups.filter("doc_id is null")
-    wordless = nameless.filter("component is null").select(F.col("hash").alias("_kept")).distinct()
-    lone = nameless.filter("component is not null and component_id is null").groupBy("component").agg(F.min("hash").alias("_kept")).select("_kept")
+    wordless = nameless.filter("component is null").select(F.col("hash").alias(mark)).distinct()
+    lone = nameless.filter("component is not null and component_id is null").groupBy("component").agg(F.min("hash").alias(mark)).select(mark)
     null = docs.filter("doc_id is null")
-    alike = F.xxhash64("text") == F.col("_kept")
-    first = null.join(lone, alike, "left_semi").groupBy(F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return single.unionByName(chosen).unionByName(null.join(wordless, alike, "left_semi")).unionByName(first).select(*docs.columns)
+    alike = F.xxhash64("text") == F.col(mark)
+    first = null.join(lone, alike, "left_semi").groupBy(F.xxhash64("text").alias(times)).agg(least).select("_row.*")
+    return single.unionByName(chosen).unionByName(null.join(wordless, alike, "left_semi")).unionByName(first).select(*columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +83,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark):  # the stages' tables go when the last one's is written
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        last = STAGES[-1][1](spark, docs, sf_dir)
+        path = result(last, "pipeline")
+    return spark.read.schema(last.schema).parquet(path)
