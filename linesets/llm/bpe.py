@@ -22,8 +22,9 @@ A word's last symbol carries the end-of-word mark, as a symbol of its own.
 Normalisation and the split into words are those of the tokenizer file. The
 vocabulary's path is a parameter.
 
-Null and empty texts have no ids. Rows are handled one by one, so repeated rows
-and other columns make no difference; very long words take linear time.
+Null and empty texts have no ids; an empty table gives no rows. Rows are handled one by one, so repeated
+rows and other columns make no difference, and there are no ties: a prefix has one last token. Very long texts are
+coded in parts that end behind blanks, and very long words take linear time.
 """
 
 from __future__ import annotations

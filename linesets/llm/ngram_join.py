@@ -615,3 +615,21 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
 
 def query(spark, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+with recursive d as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+    select distinct doc_id, shingle from (
+        select doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as shingle from d where len(w) >= 5
+        union all select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 4)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 75 * (x.n + y.n - c)),
+both_ways as (select a, b from e union all select b, a from e),
+r as (select a as id, b as other from both_ways union select r.id, both_ways.b from r join both_ways on r.other = both_ways.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(min(r.other), d.doc_id)) as component_id
+from d left join n on d.doc_id = n.doc_id left join r on d.doc_id = r.id group by d.doc_id, n.n
+"""
+assert (SHINGLE, SHARE, WHOLE) == (5, 75, 100)  # as the SQL has them

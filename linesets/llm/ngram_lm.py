@@ -72,15 +72,20 @@ def _local(path: str) -> str | None:
     return "/" + path[len("file:") :].lstrip("/") if path.startswith("file:") else None
 
 
+def _store(path: str):
+    """(file system, path in it) of a shared folder that isn't a mounted one."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
 class Writer:
     """An array in the shared folder, written part by part; whole or not there, so a repeated task does no harm."""
 
     def __init__(self, path: str):
         self.path, self.local, self.staged, self.size = path, _local(path), f"{path}.{uuid.uuid4().hex}", 0
         if self.local is None:
-            from pyarrow import fs
-
-            self.store, self.inner = fs.FileSystem.from_uri(self.staged)
+            self.store, self.inner = _store(self.staged)
             self.out = self.store.open_output_stream(self.inner)
         else:
             os.makedirs(os.path.dirname(self.local), exist_ok=True)
@@ -111,7 +116,7 @@ def load(path: str, dtype) -> np.ndarray:
         return np.memmap(local, dtype, "r") if os.path.exists(local) and os.path.getsize(local) else np.empty(0, dtype)
     from pyarrow import fs
 
-    store, inner = fs.FileSystem.from_uri(path)
+    store, inner = _store(path)
     info = store.get_file_info(inner)
     if info.type != fs.FileType.File or not info.size:
         return np.empty(0, dtype)
@@ -673,3 +678,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 def query(spark, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of a column's decimal digits.
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, case when a & 1 = 1 then 3988292384 else 0 end))), 4294967295)"""
+#: The columns that no logarithm enters.
+COUNT_SQL = rf"""
+with d as (
+    select doc_id, {_CRC} % {FOLDS} = {HELD_OUT} as held_out,
+        list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') as t
+    from documents),
+w as (select doc_id, held_out, unnest(t) as token from d),
+k as (select distinct token from w where not held_out)
+select w.doc_id, held_out, count(*) as n_tokens, count(k.token) as n_known, (select count(*) from w where not held_out) as train_tokens
+from w left join k on w.token = k.token group by w.doc_id, held_out
+"""

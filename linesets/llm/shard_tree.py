@@ -116,3 +116,7 @@ def query(spark, sf_dir: str) -> DataFrame:
         out = with_slots(placed, "shard", "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
         path = result(out, "shards")
     return spark.read.schema(out.schema).parquet(path)
+
+
+#: The columns that the tree doesn't decide.
+SIZE_SQL = "select doc_id, octet_length(encode(coalesce(text, ''))) + 8 as size, 'key' as law from documents"
