@@ -73,7 +73,7 @@ FLUSH = 400_000
 BLOCK_TOKENS, BLOCK_SETS = 3_000_000, 20_000
 #: Sets of a neighbourhood whose vectors one tree holds before tokens are fetched; larger ones are dealt to
 #: the square root of so many sets' blocks.
-TREE_ROWS, SPREAD = 400, 64
+TREE_ROWS, SPREAD = 250, 10
 FAN = 16
 #: Sets that may be sent to every executor for the search of candidates' texts (8 bytes each); more meet in a join.
 BROADCAST_IDS = 500_000
@@ -513,7 +513,8 @@ def memberships(docs: DataFrame, cells: np.ndarray, key: int) -> DataFrame:
     hot = cells > max(HOT_CELL, HOT_TIMES * int(cells.sum()) >> CELL_BITS)
     order = np.minimum(cells, 0xFFFFFFFF).astype(np.uint32)  # an order is all they give
     rows = docs.select("text").mapInArrow(tidy(_prefix_rows(order, hot, n, slots, key)), "bucket int, slot int, token binary, high binary, low binary, n binary")
-    dealt = rows.repartition(2 * n if hot.any() else n, "bucket").sortWithinPartitions("bucket", "slot")
+    # a bucket is a partition, so none holds several by chance
+    dealt = rows.repartitionById(2 * n if hot.any() else n, "bucket").sortWithinPartitions("bucket", "slot")
     found = materialize(dealt.mapInArrow(tidy(_pivots(n)), "token bigint, high bigint, low bigint, p_high bigint, p_low bigint"), "pivots")
     members = found.filter("token is null").drop("token")
     if hot.any():

@@ -259,7 +259,8 @@ class Sums:
 
 
 def _dealt(rows: DataFrame, n: int, *then: str) -> DataFrame:
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", *then)
+    # a bucket is a partition, so none holds several by chance
+    return rows.repartitionById(n, "bucket").sortWithinPartitions("bucket", *then)
 
 
 # counting ----------------------------------------------------------------------------------
