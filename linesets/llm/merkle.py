@@ -47,8 +47,8 @@ SECTION = 4
 RANGE_BYTES = 4 << 20
 #: From so many ranges on both their number and their size grow; a range is walked row by row, so its size needs no memory.
 WIDE = 4096
-#: Ids are counted in at most 2^16 cells; a cell with too many is counted anew in 2^4.
-CELLS, FINER_BITS = 1 << 16, 4
+#: Ids are counted in at most 2^13 cells; a cell with too many is counted anew in 2^4.
+CELLS, FINER_BITS = 1 << 13, 4
 
 _BORDERS = "".join(re.escape(chr(c)) for c in range(0x10000) if c % EVERY == BORDER and not 0xD800 <= c < 0xE000)
 _pieces = re.compile(f".{{0,{PIECE - 2}}}?[{_BORDERS}] |.{{1,{PIECE}}}", re.DOTALL)
