@@ -5,6 +5,8 @@ for each vector. The approximation file has blocks of vectors with one byte for
 the cell it falls in, of 256 cells of equal width between the block's least and largest
 component of that dimension. It is a fraction of the exact one.
 
+* Copies. Of equal vectors only those of the k + 1 smallest ids can be found, so a group of copies of any size
+  is a few rows of both files.
 * Scan. Cells of equal width make a bound cheap: the score of the cells' middles is one matrix
   product of queries and cells, and no vector of these cells scores more or less than
   that by half a cell's width times the query's component, summed over dimensions, which is one
@@ -61,6 +63,17 @@ def integers(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
     return df.filter(clean).select(F.col(id_col).cast("bigint").alias("id"), whole.alias("v"))
 
 
+def foremost(whole: DataFrame, k: int) -> DataFrame:
+    """Rows that some query may find: of equal vectors those of the k + 1 smallest ids, k of each.
+
+    Equal vectors have equal scores, so ids alone decide between them, and a query leaves out one id, its own. Both
+    limits prune before the shuffle, so a vector with most of the rows is a few rows a task.
+    """
+    alike = F.row_number().over(Window.partitionBy("v", "id").orderBy("id"))
+    few = whole.withColumn("n", alike).filter(F.col("n") <= k).drop("n")
+    return few.withColumn("n", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("n") <= k + 1).drop("n")
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Lists of integers as rows, zeros at the end."""
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
@@ -219,8 +232,9 @@ def search(df: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY, id
     with_workers(spark)
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     with scratch(spark):
-        numbered = materialize(integers(df, id_col, vector, scale).withColumn("row", F.monotonically_increasing_id()), "va-exact")
-        asking = materialize(numbered.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), "va-asking")
+        whole = integers(df, id_col, vector, scale)
+        numbered = materialize(foremost(whole, k).withColumn("row", F.monotonically_increasing_id()), "va-exact")
+        asking = materialize(whole.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), "va-asking")
         found = materialize(scan(numbered, asking, k), "va-found")
         # over all parts: the k-th largest lower bound
         floor = _best(found, [F.desc("lower")], k).groupBy("query_id").agg(F.min("lower").alias("floor"), F.count(F.lit(1)).alias("n"))

@@ -289,6 +289,25 @@ def test_va_search_parts_and_blocks(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_va_search_among_copies(spark, monkeypatch):
+    """A third of the rows is one vector, with repeated ids among them; a query's candidates don't grow with it."""
+    rng = np.random.default_rng(5)
+    vectors = [(i, [1.0, 0.5, 0.25]) for i in range(0, 400)] + [(3, [1.0, 0.5, 0.25])] * 9 + [(0, [1.0, 0.5, 0.25])] * 7
+    vectors += [(1000 + i, v) for i, v in enumerate(rng.normal(size=(500, 3)).tolist())]
+    exact = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in vectors]
+    counts, read = [], va_search.read
+    monkeypatch.setattr(va_search, "read", lambda found, *rest: counts.append(found.count()) or read(found, *rest))
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>").repartition(5)
+    got = sorted(tuple(r) for r in va_search.search(df, every=100).collect())
+    want = []
+    asked = {i: v for i, v in exact if i % 100 == 0}
+    for q, v in asked.items():
+        best = sorted((-int(v @ w), i) for i, w in exact if i != q)[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+    assert sum(counts) < len(asked) * 40
+
+
 def test_va_search_of_scores_beyond_64_bits(spark):
     df = spark.createDataFrame([(0, [1e9, 2.0]), (50, [1e9, 1e9]), (1, [3.0, 4.0])], "vec_id bigint, embedding array<double>")
     with pytest.raises(Exception, match="too large for 64-bit scores"):
