@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linesets.functions.keys import byte_length
-from linesets.operators.order import with_ordinal
+from linesets.operators.order import rank_within
 
 
 def frequency(df: DataFrame, key: str = "line") -> DataFrame:
@@ -18,26 +18,24 @@ def frequency_order(freq: DataFrame, key: str = "line") -> DataFrame:
     return freq.orderBy(F.col("cnt").desc(), F.col(key).asc())
 
 
-def running(freq: DataFrame, key: str = "line") -> DataFrame:
+def running(freq: DataFrame, key: str = "line", like: DataFrame | None = None) -> DataFrame:
     """Adds pct and cumul, in the order count descending, bytes ascending.
 
-    The running sum has two levels: totals for each count (few distinct
-    counts), summed up over counts, and the ordinal of a line, from slices of the order, less
-    the lines with larger counts. Lines with one count add that count each, so no window
-    holds more than the distinct counts or one slice.
+    The running sum has two levels: a total for each count (few distinct
+    counts), summed up over counts, and a rank inside each count. Lines with one
+    count add that count each, so no window holds more than the distinct
+    counts or one slice of the lines. like: a table whose lines lie about alike, where it is cheaper to read.
     """
-    levels = freq.groupBy("cnt").agg(F.count(F.lit(1)).alias("_lines"), (F.count(F.lit(1)) * F.col("cnt")).alias("_level"))
-    before = Window.orderBy(F.col("cnt").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    levels = freq.groupBy("cnt").agg((F.count(F.lit(1)) * F.col("cnt")).alias("_level"))
+    over = Window.orderBy(F.col("cnt").desc())
     levels = levels.select(
         "cnt",
-        F.coalesce(F.sum("_level").over(before), F.lit(0)).alias("_before"),
-        F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_above"),
+        F.coalesce(F.sum("_level").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_level").over(Window.partitionBy()).alias("_total"),
     )
-    ranked = with_ordinal(freq, [-F.col("cnt"), F.col(key)], "_ord")
-    joined = ranked.join(levels, "cnt")
+    joined = rank_within(freq, "cnt", [F.col(key)], like=like).join(levels, "cnt")
     total = F.col("_total").cast("double")
-    upto = (F.col("_before") + F.col("cnt") * (F.col("_ord") - F.col("_above"))).cast("double")
+    upto = (F.col("_before") + F.col("cnt") * F.col("_rank")).cast("double")
     return joined.select(
         *freq.columns,
         (F.col("cnt").cast("double") * F.lit(100.0) / total).alias("pct"),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows whose keys give the borders of slices, and leading bytes of a line in a border: both bound what comes to the driver.
 SAMPLE, BORDER_BYTES = 4096, 200
+#: Up to so many borders a row is compared with each, else by halving.
+FEW = 32
 
 
 def by_bytes(order: Sequence[str] = (), key: str = "line") -> list[Column]:
@@ -35,42 +37,52 @@ def sort_by_length(df: DataFrame, length: Column, order: Sequence[str]) -> DataF
     return df.withColumn("len", length).orderBy(*by_length(F.col("len"), order))
 
 
-def _short(df: DataFrame, by: Sequence[Column]) -> Column:
+def _short(df: DataFrame, by: Sequence[Column]) -> list[Column]:
     """The order's columns with long values cut, which keeps the order of rows that still differ."""
-    kinds = dict(df.select(*[c.alias(f"k{i}") for i, c in enumerate(by)]).dtypes)
-    cut = [F.substring(c.cast("binary"), 1, BORDER_BYTES) if kinds[f"k{i}"] in ("string", "binary") else c for i, c in enumerate(by)]
-    return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cut)])
+    kinds = df.select(*[c.alias(f"k{i}") for i, c in enumerate(by)]).dtypes
+    return [F.substring(c.cast("binary"), 1, BORDER_BYTES) if kind in ("string", "binary") else c for c, (_, kind) in zip(by, kinds, strict=True)]
 
 
-def slices(df: DataFrame, by: Sequence[Column], n: int | None = None) -> Column:
-    """The number of a row's slice: as many ranges of the order as there are shuffle partitions, about alike in rows.
+def slices(df: DataFrame, by: Sequence[Column], n: int | None = None) -> Callable[[DataFrame], Column]:
+    """Numbers of slices, as an expression for any table with the order's columns: as many ranges of the order as there are
+    shuffle partitions, about alike in rows of df.
 
-    Borders come from the rows with the smallest hashes, the same ones at every run, so slices are a
+    Borders come from the rows of df with the smallest hashes and stand in the plan as values, so slices are a
     function of the row and a repeated task finds the same ones.
     """
     n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     short = _short(df, by)
-    drawn = df.select(short.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE).distinct().orderBy("k")
-    keys = [r["k"] for r in drawn.collect()] if n > 1 else []
-    borders = [keys[len(keys) * i // n] for i in range(1, n)] if len(keys) >= n else keys[1:]
-    if not borders:
-        return F.lit(0)
+    names = [f"k{i}" for i in range(len(by))]
+    key = F.struct(*[c.alias(k) for c, k in zip(short, names, strict=True)])
+    drawn = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
     schema = drawn.schema["k"].dataType
-    values = [F.struct(*[F.lit(bytes(v) if isinstance(v, bytearray) else v).cast(f.dataType).alias(f.name) for v, f in zip(b, schema.fields, strict=True)]) for b in borders]
-    # halving: as many steps as the number of borders has bits
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(borders).bit_length()))])
-    passed = lambda at, step: (at + step <= len(borders)) & (F.get(F.array(*values), at + step - 1) <= short)
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(passed(at, step), at + step).otherwise(at))
+    keys = [r["k"] for r in drawn.distinct().orderBy("k").collect()] if n > 1 else []
+    borders = [keys[len(keys) * i // n] for i in range(1, n)] if len(keys) >= n else keys[1:]
+    values = [[F.lit(bytes(v) if isinstance(v, bytearray) else v).cast(f.dataType).alias(f.name) for v, f in zip(b, schema.fields, strict=True)] for b in borders]
+
+    def number(rows: DataFrame) -> Column:
+        own = _short(rows, by)
+        if len(borders) <= FEW:  # each compared
+            one = len(by) == 1
+            mine = own[0] if one else F.struct(*[c.alias(k) for c, k in zip(own, names, strict=True)])
+            return sum((F.when(mine >= (v[0] if one else F.struct(*v)), 1).otherwise(0) for v in values), F.lit(0))
+        # halving: as many steps as the number of borders has bits
+        mine = F.struct(*[c.alias(k) for c, k in zip(own, names, strict=True)])
+        steps, sorted_ = F.array(*[F.lit(1 << k) for k in reversed(range(len(borders).bit_length()))]), F.array(*[F.struct(*v) for v in values])
+        passed = lambda at, step: (at + step <= len(borders)) & (F.get(sorted_, at + step - 1) <= mine)
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(passed(at, step), at + step).otherwise(at))
 
+    return number
 
-def with_ordinal(df: DataFrame, by: Sequence[Column], name: str = "ord") -> DataFrame:
+
+def with_ordinal(df: DataFrame, by: Sequence[Column], name: str = "ord", like: DataFrame | None = None) -> DataFrame:
     """Ordinal from 1 of each row in an order without ties.
 
     Rows are numbered inside slices of the order and slices are offset by their sizes, so
     no task sees all rows and a common beginning or length doesn't gather them either; the only
-    window over all holds one row a slice.
+    window over all holds one row a slice. like: a table whose rows lie about like those of df, where it is cheaper to read.
     """
-    sliced = df.withColumn("_slice", slices(df, by))
+    sliced = df.withColumn("_slice", slices(df if like is None else like, by)(df))
     sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -79,6 +91,17 @@ def with_ordinal(df: DataFrame, by: Sequence[Column], name: str = "ord") -> Data
     return numbered.withColumn(name, (F.col("_base") + F.col("_local")).cast("bigint")).drop("_slice", "_base", "_local")
 
 
+def rank_within(df: DataFrame, group: str, by: Sequence[Column], name: str = "_rank", like: DataFrame | None = None) -> DataFrame:
+    """Rank from 1 in an order without ties inside each group, however large one is: by slices, as in with_ordinal."""
+    sliced = df.withColumn("_slice", slices(df if like is None else like, by)(df))
+    sizes = sliced.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    local = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(*by))
+    ranked = sliced.withColumn("_local", local).join(sizes, [group, "_slice"])
+    return ranked.withColumn(name, F.col("_base") + F.col("_local")).drop("_slice", "_base", "_local")
+
+
 def sortedness_violations(df: DataFrame, group: Sequence[str], order: Sequence[str], key: str = "line") -> DataFrame:
     """Rows smaller than the row before them in their group, with that row."""
     over = Window.partitionBy(*group).orderBy(*order)

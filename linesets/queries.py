@@ -86,13 +86,13 @@ def remove_union(spark, d):
 
 
 def sort_bytes(spark, d):
-    lines = setops.dedupe_first(doc_lines(spark, d), ORDER).select("line")
-    return ordering.with_ordinal(lines, ordering.by_bytes())
+    every = doc_lines(spark, d)
+    return ordering.with_ordinal(setops.dedupe_first(every, ORDER).select("line"), ordering.by_bytes(), like=every)
 
 
 def restore_order(spark, d):
-    lines = setops.dedupe_first(doc_lines(spark, d), ORDER)
-    return ordering.with_ordinal(lines, ordering.by_place(ORDER)).select("id", "pos", "ord")
+    every = doc_lines(spark, d)
+    return ordering.with_ordinal(setops.dedupe_first(every, ORDER), ordering.by_place(ORDER), like=every).select("id", "pos", "ord")
 
 
 def prefix_dedupe(spark, d):
@@ -112,7 +112,8 @@ def freq_count_len_line(spark, d):
 
 
 def freq_running(spark, d):
-    return freq.running(freq.frequency(doc_lines(spark, d)))
+    lines = doc_lines(spark, d)
+    return freq.running(freq.frequency(lines), like=lines)
 
 
 def hist_len(spark, d):

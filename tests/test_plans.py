@@ -141,12 +141,15 @@ def test_sortedness_of_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_ordinals_of_skewed_keys(spark):
+def test_ordinals_of_skewed_keys(spark, monkeypatch):
     """A common beginning or length doesn't put all rows into one slice."""
     df = spark.range(20_000).select(F.concat(F.lit("http://example.org/"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("line"), "id", F.lit(25).alias("len"))
-    for by in (order.by_bytes(), order.by_length(F.col("len"), ["id"])):
-        slice_ = order.slices(df, by)
-        sizes = [r["count"] for r in df.groupBy(slice_.alias("s")).count().collect()]
-        assert len(sizes) == 8 and max(sizes) < 20_000 / 4
-        assert [r["ord"] for r in order.with_ordinal(df, by).orderBy("id").collect()] == list(range(1, 20_001))
+    for few in (32, 3):  # compared with each border, and by halving
+        monkeypatch.setattr(order, "FEW", few)
+        for by in (order.by_bytes(), order.by_length(F.col("len"), ["id"])):
+            sizes = [r["count"] for r in df.groupBy(order.slices(df, by)(df).alias("s")).count().collect()]
+            assert len(sizes) == 8 and max(sizes) < 20_000 / 4
+            assert [r["ord"] for r in order.with_ordinal(df, by).orderBy("id").collect()] == list(range(1, 20_001))
+            ranked = order.rank_within(df.withColumn("g", F.col("id") % 3), "g", by).orderBy("id").collect()
+            assert [r["_rank"] for r in ranked] == [i // 3 + 1 for i in range(20_000)]
     assert order.with_ordinal(df.limit(0), order.by_bytes()).collect() == []
