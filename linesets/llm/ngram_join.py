@@ -357,8 +357,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 def connect(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links that connect whatever is connected among sets (the first is the pivot).
 
-    With others: links between a set and one of the others, as (set, other); sets
-    stay apart from each other then.
+    With others: links between a set and the others, as (set, other), one for each component of
+    the others; sets stay apart from each other then.
     """
     base = sets if others is None else others
     sizes = np.array([len(s) for s in base])
@@ -367,6 +367,9 @@ def connect(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> l
     tree = RTree(points, sizes)
     parent, groups_left = list(range(len(base))), len(base)
     edges = []
+    if others is not None:  # a link with one of a component is a link with all
+        for i, j in connect(others):
+            parent[_find(parent, i)] = _find(parent, j)
     asked = range(len(base)) if others is None else range(len(sets))
     vectors = points if others is None else count_vectors(sets, groups)
     for i in asked:
@@ -375,14 +378,18 @@ def connect(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> l
         if others is None:
             near = near[near > i]
         near.sort()
+        met: set[int] = set()
         for j in near.tolist():
-            if others is None and _find(parent, i) == _find(parent, j):
+            root = _find(parent, j)
+            if root in met or others is None and _find(parent, i) == root:
                 continue
             if overlap(mine, base[j]) >= needed(len(mine), sizes[j]):
                 edges.append((i, j))
                 if others is None:
-                    parent[_find(parent, i)] = _find(parent, j)
+                    parent[_find(parent, i)] = root
                     groups_left -= 1
+                else:
+                    met.add(root)
         if others is None and groups_left == 1:
             break
     return edges
