@@ -73,7 +73,7 @@ FLUSH = 400_000
 BLOCK_TOKENS, BLOCK_SETS = 3_000_000, 20_000
 #: Sets of a neighbourhood whose vectors one tree holds before tokens are fetched; larger ones are dealt to
 #: the square root of so many sets' blocks.
-TREE_ROWS, SPREAD = 400, 64
+TREE_ROWS, SPREAD = 1000, 64
 FAN = 16
 #: Sets that may be sent to every executor for the search of candidates' texts (8 bytes each); more meet in a join.
 BROADCAST_IDS = 500_000
